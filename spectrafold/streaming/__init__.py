@@ -1,0 +1 @@
+"""Nothing here: the analyses are batch work, there is no stream to process."""
