@@ -22,11 +22,13 @@ def exact_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     group_rows: int = GROUP_ROWS,
+    interpolate: bool = True,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probabilities``.
 
     Quantiles interpolate between neighbouring values (0.5 of an even count is the mean of
-    the two middle ones). A NULL in the group makes its quantiles NULL.
+    the two middle ones); without ``interpolate`` they are the value of rank ``ceil(p n)``.
+    A NULL in the group makes its quantiles NULL.
 
     Two passes over ``df``: the first counts, the second aggregates. When ``df`` is costly,
     hand in rows that come out of a shuffle (``repartition``): both passes then read it.
@@ -34,16 +36,20 @@ def exact_quantiles(
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     limit = max(group_rows, SKETCH_ACCURACY)  # the brackets need some ranks on either side
     heavy = heavy_groups(rows, keys, limit, {"known": F.count("_v")})
-    light = _in_one_task(without_heavy(rows, heavy, keys), keys, probabilities)
-    return light.unionByName(_spread(rows, heavy, keys, probabilities))
+    light = _in_one_task(without_heavy(rows, heavy, keys), keys, probabilities, interpolate)
+    return light.unionByName(_spread(rows, heavy, keys, probabilities, interpolate))
 
 
 def _in_one_task(
-    rows: DataFrame, keys: Sequence[str], probabilities: Mapping[str, float]
+    rows: DataFrame,
+    keys: Sequence[str],
+    probabilities: Mapping[str, float],
+    interpolate: bool,
 ) -> DataFrame:
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+    wanted = ", ".join(f"{float(p)}D" for p in probabilities.values())
+    kind = "percentile_cont" if interpolate else "percentile_disc"
     found = rows.groupBy(*keys).agg(
-        F.percentile("_v", wanted).alias("_q"),
+        F.expr(f"{kind}(array({wanted})) WITHIN GROUP (ORDER BY _v)").alias("_q"),
         (F.count(F.lit(1)) == F.count("_v")).alias("_whole"),
     )
     return found.select(
@@ -60,6 +66,7 @@ def _spread(
     heavy: DataFrame,
     keys: Sequence[str],
     probabilities: Mapping[str, float],
+    interpolate: bool,
 ) -> DataFrame:
     """Bracket each quantile with a sketch, then count exactly inside the brackets.
 
@@ -71,11 +78,13 @@ def _spread(
     ends = [
         min(1.0, max(0.0, p + side)) for p in probs for side in (-BRACKET, BRACKET)
     ]
-    known = (
-        only_heavy(rows, heavy, keys)
-        .withColumns({"_rows": fact(0), "_n": fact(1)})
-        .where(F.col("_v").isNotNull())
+    # A group with a NULL is settled: its quantiles are NULL.
+    whole = heavy.where(fact(0) == fact(1))
+    unknown = heavy.where(fact(0) > fact(1)).select(
+        *[F.col(f"_h_{k}").alias(k) for k in keys],
+        *[F.lit(None).cast("double").alias(name) for name in probabilities],
     )
+    known = only_heavy(rows, whole, keys).withColumn("_n", fact(0))
     sketch = F.percentile_approx("_v", [float(e) for e in ends], SKETCH_ACCURACY)
     brackets = known.groupBy(*keys).agg(sketch.alias("_b"))
     placed = known.join(
@@ -83,7 +92,6 @@ def _spread(
         [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys],
         "left",
     )
-    facts = ["_n", "_rows"]
     clamped = [
         F.when(
             F.col("_v") >= F.get("_b", F.lit(2 * i)),
@@ -97,7 +105,7 @@ def _spread(
     counts = (
         placed.withColumn("_slot", slot)
         .withColumn("_moved", ~F.col("_slot").eqNullSafe(F.col("_v")))
-        .groupBy(*keys, *facts, "_slot", "_moved")
+        .groupBy(*keys, "_n", "_slot", "_moved")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     upto = (
@@ -115,22 +123,23 @@ def _spread(
             F.col(found)["_moved"], F.raise_error(F.lit("quantile outside its bracket"))
         ).otherwise(F.col(found)["_slot"])
 
+    def position(p: float) -> Column:
+        exact = (F.col("_n") - 1) * F.lit(float(p)) + 1
+        return exact if interpolate else F.greatest(F.ceil(F.col("_n") * p), F.lit(1))
+
     found = []
     for i, p in enumerate(probs):
-        position = (F.col("_n") - 1) * F.lit(float(p)) + 1
         found += [
-            at_rank(F.floor(position)).alias(f"_lo{i}"),
-            at_rank(F.ceil(position)).alias(f"_hi{i}"),
+            at_rank(F.floor(position(p))).alias(f"_lo{i}"),
+            at_rank(F.ceil(position(p))).alias(f"_hi{i}"),
         ]
-    picked = ranked.groupBy(*keys, *facts).agg(*found)
+    picked = ranked.groupBy(*keys, "_n").agg(*found)
     out = []
     for i, (name, p) in enumerate(probabilities.items()):
-        position = (F.col("_n") - 1) * F.lit(float(p)) + 1
-        share = position - F.floor(position)
+        share = position(p) - F.floor(position(p))
         low, high = value_of(f"_lo{i}"), value_of(f"_hi{i}")
-        between = (F.lit(1.0) - share) * low + share * high
-        out.append(F.when(F.col("_n") == F.col("_rows"), between).alias(name))
-    return picked.select(*keys, *out)
+        out.append(((F.lit(1.0) - share) * low + share * high).alias(name))
+    return picked.select(*keys, *out).unionByName(unknown)
 
 
 def exact_median(
