@@ -94,14 +94,15 @@ def spectrum_features(
     split: float,
     bands: Mapping[str, tuple[float, float]],
     signal: str = "intensity",
-    divisor: str = "absorbance",
+    divisor: str | None = None,
 ) -> DataFrame:
     """Emission integral, scatter integral and band means of each spectrum in one pass.
 
     One row per spectrum with a point above ``split``; ``scatter`` is NULL without a point
-    below it.
+    below it. A divisor that is constant within a spectrum is better applied to the result
+    (``per_absorbance``) than joined to every point.
     """
-    ratio = safe_div(signal, divisor)
+    ratio = safe_div(signal, divisor) if divisor else F.col(signal)
     above, below = F.col("wavelength") > split, F.col("wavelength") < split
     scatter = F.when(F.count(F.when(below, F.lit(1))) > 0, strict_sum_where(below, ratio))
     features = df.groupBy(*keys).agg(
@@ -113,6 +114,17 @@ def spectrum_features(
     return features.where(F.col("_above") > 0).drop("_above")
 
 
+def per_absorbance(
+    features: DataFrame, absorbance: DataFrame, columns: Sequence[str], on: str = "file"
+) -> DataFrame:
+    """Divide per-spectrum sums and means by the absorbance of the spectrum.
+
+    Equal to dividing every point first, but the join meets one row per spectrum.
+    """
+    joined = features.join(absorbance, on, "left")
+    return joined.withColumns({c: safe_div(c, "absorbance") for c in columns})
+
+
 def replicate_average(
     df: DataFrame, keys: Sequence[str], value: str, flags: Sequence[str] = ()
 ) -> DataFrame:
