@@ -152,20 +152,13 @@ def _fitted(design: DataFrame, model: tuple[str, list[str], Column | None]) -> D
     return ols(design if rows is None else design.where(rows), response, terms)
 
 
-def _term(coefs: DataFrame) -> DataFrame:
-    """Products are named in factor order; the same product may be asked for either way."""
-    swapped = coefs.withColumn("term", F.array_join(F.reverse(F.split("term", ":")), ":"))
-    return coefs.unionByName(swapped.where(F.col("term").contains(":")))
-
-
 def response_grid(
     spark: SparkSession, design: DataFrame, step: float = GRID_STEP
 ) -> DataFrame:
     """Predicted band ratio, yield and target over all combinations of the five levels."""
     models = factorial_models()
-    grid = level_grid(spark, ["Au_level", "AMP_level", "N3_level", "Citr_level", "NaH_level"],
-                      step=step)
-    grid = score(grid, _term(_fitted(design, models["target"])), TARGET_TERMS, "yellow")
+    grid = level_grid(spark, FACTORS, step=step)
+    grid = score(grid, _fitted(design, models["target"]), TARGET_TERMS, "yellow")
     grid = score(grid, _fitted(design, models["qy"]), YIELD_TERMS, "qy")
     target = gated_product(F.col("qy"), BRIGHT_PERCENT, F.col("yellow"))
     return grid.withColumn("target", target)
