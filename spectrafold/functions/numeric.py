@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,12 +25,13 @@ def round_half_even(value: Column, scale: int) -> Column:
     return F.bround(value, scale)
 
 
-def med3(a: Column, b: Column, c: Column) -> Column:
-    return F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+def med3(a: str, b: str, c: str) -> str:
+    """Median of three known numbers, as SQL text."""
+    return f"greatest(least({a}, {b}), least(greatest({a}, {b}), {c}))"
 
 
-def median_of(values: Sequence[Column]) -> Column:
-    """Median of an odd number of columns in one row; NULL if one of them is NULL."""
+def median_of(values: Sequence[str]) -> str:
+    """Median of an odd number of columns in one row, as SQL text; NULL if one is NULL."""
     size = len(values)
     if size % 2 == 0:
         raise ValueError("median_of needs an odd number of columns")
@@ -41,10 +41,9 @@ def median_of(values: Sequence[Column]) -> Column:
         middle = med3(*values)
     elif size == 5:
         a, b, c, d, e = values
-        low = F.greatest(F.least(a, b), F.least(c, d))
-        high = F.least(F.greatest(a, b), F.greatest(c, d))
+        low = f"greatest(least({a}, {b}), least({c}, {d}))"
+        high = f"least(greatest({a}, {b}), greatest({c}, {d}))"
         middle = med3(e, low, high)
     else:
-        middle = F.get(F.sort_array(F.array(*values)), F.lit(size // 2))
-    all_known = reduce(lambda p, q: p & q, [v.isNotNull() for v in values])
-    return F.when(all_known, middle)
+        middle = f"sort_array(array({', '.join(values)}))[{size // 2}]"
+    return f"(CASE WHEN {' + '.join(values)} IS NOT NULL THEN {middle} END)"

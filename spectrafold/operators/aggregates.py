@@ -19,6 +19,7 @@ from spectrafold.functions.strict import (
 from spectrafold.operators.filters import clip_wavelength, near_wavelength
 from spectrafold.operators.joins import left_join_null_safe
 from spectrafold.operators.quantiles import exact_median, exact_quantiles
+from spectrafold.session import settle
 
 
 def point_signal(
@@ -30,11 +31,11 @@ def point_signal(
 ) -> DataFrame:
     """Median signal within ``tolerance`` of ``center``.
 
-    The few rows near ``center`` are shuffled once by key and value, which spreads a large
-    group; both passes of the median read that shuffle instead of cleaning twice.
+    The few rows near ``center`` are settled, so that both passes of the median read them
+    instead of cleaning twice.
     """
     rows = near_wavelength(df, center, tolerance).select(*keys, signal)
-    return exact_median(rows.repartition(*keys, signal), keys, signal)
+    return exact_median(settle(rows, "point-signal"), keys, signal)
 
 
 def normalized_integral(
@@ -135,12 +136,12 @@ def replicate_average(
 
 
 def replicate_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return exact_median(df.select(*keys, value).repartition(*keys, value), keys, value)
+    return exact_median(settle(df.select(*keys, value), "replicates"), keys, value)
 
 
 def replicate_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Standard deviation (``sd``) and median (under the name ``value``) over replicates."""
-    rows = df.select(*keys, value).repartition(*keys, value)
+    rows = settle(df.select(*keys, value), "replicates")
     spread = rows.groupBy(*keys).agg(strict_stddev(value).alias("sd"))
     return left_join_null_safe(spread, exact_median(rows, keys, value), keys)
 
@@ -150,9 +151,12 @@ def group_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of each column, one row per column."""
+    """Minimum, quartiles, mean and maximum of each column, one row per column.
+
+    Reads ``df`` three times; hand in settled rows when it is costly.
+    """
     doubles = df.select(*[F.col(c).cast("double") for c in columns])
-    long = doubles.unpivot([], list(columns), "column", "value").repartition("column", "value")
+    long = doubles.unpivot([], list(columns), "column", "value")
     places = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
     spots = exact_quantiles(long, ["column"], "value", places)
     means = long.groupBy("column").agg(strict_avg("value").alias("mean"))

@@ -8,22 +8,18 @@ many tasks as it needs.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrafold.functions.numeric import med3, median_of
 from spectrafold.functions.strict import strict_avg_where
-from spectrafold.operators.heavy import fact, heavy_groups, only_heavy, without_heavy
+from spectrafold.operators.heavy import heavy_groups, only_heavy, without_heavy
 
 SLICE_ROWS = 2_000_000
 
 
-def _inside(lo: float, hi: float) -> Column:
-    return (F.col("wavelength") > lo) & (F.col("wavelength") < hi)
-
-
 def baseline_correct(
     df: DataFrame, lo: float, hi: float, signal: str = "intensity", key: str = "file"
 ) -> DataFrame:
@@ -32,9 +28,8 @@ def baseline_correct(
     A spectrum without a point in the window gets NULL. The means are pre-aggregated before
     any shuffle, then joined back.
     """
-    offsets = df.groupBy(key).agg(
-        strict_avg_where(_inside(lo, hi), F.col(signal)).alias("_offset")
-    )
+    inside = (F.col("wavelength") > lo) & (F.col("wavelength") < hi)
+    offsets = df.groupBy(key).agg(strict_avg_where(inside, F.col(signal)).alias("_offset"))
     return (
         df.join(offsets, key, "left")
         .withColumn(signal, F.col(signal) - F.col("_offset"))
@@ -81,96 +76,100 @@ def _clean(
 ) -> DataFrame:
     if k < 1 or k % 2 == 0:
         raise ValueError("the width of a running median must be odd")
-    columns = df.columns
-    rows = df.withColumn("_x", F.col(signal).cast("double"))
-    window = _inside(*baseline) if baseline else None
+    columns = [f"`{c}`" for c in df.columns]
+    kept = [c for c in columns if c != f"`{signal}`"]
+    rows = df.selectExpr(*kept, f"CAST(`{signal}` AS DOUBLE) AS _x")
+    inside = "wavelength > {} AND wavelength < {}".format(*baseline) if baseline else "FALSE"
     facts = {"first": F.min("wavelength"), "last": F.max("wavelength")}
     if baseline:
-        facts["offset"] = strict_avg_where(window, F.col("_x"))
+        facts["offset"] = F.expr(_window_mean(inside))
     heavy = heavy_groups(rows, [key], slice_rows, facts)
+    value = "_y - _offset" if baseline else "_y"
+    result = [value + f" AS `{signal}`" if c == f"`{signal}`" else c for c in columns]
 
     # Ordinary spectra: the mean comes from the window the smoother sorts for anyway.
-    means = {}
-    if baseline:
-        everything = _everything([key], order)
-        means = {
-            "_present": F.count(F.when(window, F.lit(1))).over(everything),
-            "_known": F.count(F.when(window, F.col("_x"))).over(everything),
-            "_mean": F.avg(F.when(window, F.col("_x"))).over(everything),
-        }
-    ordinary = _lined_up(without_heavy(rows, heavy, [key]), [key], order, k, means)
-    if baseline:
-        ordinary = ordinary.withColumn(
-            "_offset", F.when(F.col("_known") == F.col("_present"), F.col("_mean"))
-        )
-    smooth = _with_ends(ordinary, [key], order, k)
+    extra = [_window_mean(inside, over=_everything([key], order)) + " AS _offset"]
+    ordinary = rows if heavy is None else without_heavy(rows, heavy, [key])
+    ordinary = _lined_up(ordinary, [key], order, k, extra if baseline else [])
+    smooth = _with_ends(ordinary, [key], order, k).selectExpr(*result)
+    if heavy is None:
+        return smooth
 
     # Heavy spectra: medians inside a slice are final; the thin rims of all slices, put
     # together, hold every neighbour of the points at the slice borders.
-    sliced = only_heavy(rows, heavy, [key]).withColumn("_slice", _slice_number(slice_rows))
-    if baseline:
-        sliced = sliced.withColumn("_offset", fact(3))
-    sliced = sliced.drop("_facts")
+    offset = ["_facts[3] AS _offset"] if baseline else []
+    sliced = only_heavy(rows, heavy, [key]).selectExpr(
+        *kept, "_x", *offset, f"{_slice_number(slice_rows)} AS _slice"
+    )
     lined = _lined_up(sliced, [key, "_slice"], order, k)
     half = k // 2
     reach = max(half + 3, 3 * half - 1)
-    interior = (F.col("_pos") > half) & (F.col("_tail") > half)
-    inner = lined.where(interior).withColumn("_y", _median_column(half))
-    rim = lined.where((F.col("_pos") <= reach) | (F.col("_tail") <= reach))
-    rim = rim.select(*sliced.columns, (~interior).alias("_border"))
+    interior = f"_pos > {half} AND _tail > {half}"
+    inner = lined.where(interior).selectExpr("*", f"{_median(half)} AS _y")
+    rim = lined.where(f"_pos <= {reach} OR _tail <= {reach}").selectExpr(
+        *[f"`{c}`" for c in sliced.columns], f"NOT ({interior}) AS _border"
+    )
     borders = _with_ends(_lined_up(rim, [key], order, k), [key], order, k).where("_border")
 
-    value = F.col("_y") - F.col("_offset") if baseline else F.col("_y")
-    parts = [
-        part.withColumn(signal, value).select(*columns) for part in (smooth, inner, borders)
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    inner, borders = inner.selectExpr(*result), borders.selectExpr(*result)
+    return smooth.unionByName(inner).unionByName(borders)
 
 
-def _slice_number(slice_rows: int) -> Column:
-    slices = F.ceil(fact(0) / F.lit(slice_rows))
-    width = F.nullif(fact(2) - fact(1), F.lit(0.0))
-    place = F.floor((F.col("wavelength") - fact(1)) / width * slices)
-    return F.coalesce(F.least(place, slices - 1), F.lit(0))
+def _window_mean(inside: str, over: str = "") -> str:
+    """Mean of the points inside the window; NULL if there are none or one is NULL."""
+    here = f"CASE WHEN {inside} THEN _x END"
+    rows, known = f"count(CASE WHEN {inside} THEN 1 END)", f"count({here})"
+    return f"CASE WHEN {rows} {over} = {known} {over} THEN avg({here}) {over} END"
 
 
-def _everything(parts: Sequence[str], order: Sequence[str]) -> Window:
-    return (
-        Window.partitionBy(*parts)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
+def _slice_number(slice_rows: int) -> str:
+    """The slice of a point: its place between the first and the last wavelength."""
+    slices = f"ceil(_facts[0] / {slice_rows})"
+    place = f"floor((wavelength - _facts[1]) / nullif(_facts[2] - _facts[1], 0) * {slices})"
+    return f"coalesce(least({place}, {slices} - 1), 0)"
 
 
-def _lined_up(
-    df: DataFrame,
-    parts: Sequence[str],
-    order: Sequence[str],
-    k: int,
-    extra: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Position from either end and the neighbours ``_x-h`` .. ``_x+h`` of each point."""
-    w = Window.partitionBy(*parts).orderBy(*order)
-    half = k // 2
-    columns = {
-        "_pos": F.row_number().over(w),
-        "_size": F.count(F.lit(1)).over(_everything(parts, order)),
-        **(extra or {}),
-    }
-    for i in range(1, half + 1):
-        columns[f"_x-{i}"] = F.lag("_x", i).over(w)
-        columns[f"_x+{i}"] = F.lead("_x", i).over(w)
-    return df.withColumns(columns).withColumn("_tail", F.col("_size") - F.col("_pos") + 1)
+def _by(parts: Sequence[str], order: Sequence[str]) -> str:
+    names = ", ".join(f"`{c}`" for c in parts)
+    return f"PARTITION BY {names} ORDER BY " + ", ".join(f"`{c}`" for c in order)
+
+
+def _everything(parts: Sequence[str], order: Sequence[str]) -> str:
+    frame = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return f"OVER ({_by(parts, order)} {frame})"
 
 
-def _near(name: str, offset: int) -> Column:
-    return F.col(name) if offset == 0 else F.col(f"`{name}{offset:+d}`")
+def _around(column: str, reach: int, by: str) -> list[str]:
+    """Neighbours of ``column``: ``column_p1`` is the previous row, ``column_n1`` the next."""
+    found = []
+    for i in range(1, reach + 1):
+        found.append(f"lag({column}, {i}) OVER ({by}) AS {column}_p{i}")
+        found.append(f"lead({column}, {i}) OVER ({by}) AS {column}_n{i}")
+    return found
 
 
-def _median_column(half: int) -> Column:
+def _near(column: str, offset: int) -> str:
+    if offset == 0:
+        return column
+    return f"{column}_{'n' if offset > 0 else 'p'}{abs(offset)}"
+
+
+def _median(half: int) -> str:
     return median_of([_near("_x", i) for i in range(-half, half + 1)])
 
 
+def _lined_up(
+    df: DataFrame, parts: Sequence[str], order: Sequence[str], k: int, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Position from either end and the neighbours of each point within half a width."""
+    by = _by(parts, order)
+    size = f"count(1) {_everything(parts, order)}"
+    return df.selectExpr(
+        "*", f"row_number() OVER ({by}) AS _pos", f"{size} AS _size",
+        *_around("_x", k // 2, by), *extra,
+    ).selectExpr("*", "_size - _pos + 1 AS _tail")
+
+
 def _with_ends(df: DataFrame, parts: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """Add ``_y``: the running median, with the end rule near both ends.
 
@@ -179,41 +178,44 @@ def _with_ends(df: DataFrame, parts: Sequence[str], order: Sequence[str], k: int
     is the median of itself, point 2 and the line through points 2 and 3. A spectrum
     shorter than ``k`` uses the largest odd width that fits.
     """
-    half = k // 2
-    w = Window.partitionBy(*parts).orderBy(*order)
-    series, around = {}, {}
-    for h in range(1, half + 1):
-        outer = (F.col("_pos") <= h) | (F.col("_tail") <= h)
-        series[f"_s{h}"] = F.when(outer, F.col("_x")).otherwise(_median_column(h))
-        for i in range(1, max(h - 1, 4 if h >= 3 else 2) + 1):
-            around[f"_s{h}-{i}"] = F.lag(f"_s{h}", i).over(w)
-            around[f"_s{h}+{i}"] = F.lead(f"_s{h}", i).over(w)
-    df = df.withColumns(series).withColumns(around)
-    value = F.col("_x")
-    for h in range(1, half + 1):
-        value = F.when(F.col("_size") > 2 * h, _end_rule(h)).otherwise(value)
-    return df.withColumn("_y", value)
-
-
-def _end_rule(h: int) -> Column:
-    def settled(place: int, seen_from: int, towards: int) -> Column:
-        """Point ``place`` counted from an end, as seen from point ``seen_from``."""
-        reached = range(1, 2 * place) if place <= h else [place]
-        return median_of([_near(f"_s{h}", (j - seen_from) * towards) for j in reached])
-
-    def outermost(first: Column, second: Column, third: Column) -> Column:
-        known = first.isNotNull() & second.isNotNull() & third.isNotNull()
-        return F.when(known, med3(first, second, 3 * second - 2 * third))
-
-    result = F.col(f"_s{h}")
-    for count_from, towards in (("_pos", 1), ("_tail", -1)):
-        place = F.col(count_from)
-        for i in range(2, h + 1):
-            result = F.when(place == i, settled(i, i, towards)).otherwise(result)
-        second, third = settled(2, 1, towards), settled(3, 1, towards)
+    by = _by(parts, order)
+    series, around, seconds, value = [], [], [], "_x"
+    for h in range(1, k // 2 + 1):
+        outer = f"_pos <= {h} OR _tail <= {h}"
+        series.append(f"CASE WHEN {outer} THEN _x ELSE {_median(h)} END AS _s{h}")
+        around += _around(f"_s{h}", max(h - 1, 4 if h >= 3 else 2), by)
+        for end, towards in (("head", 1), ("tail", -1)):
+            for place in (2, 3):
+                seconds.append(f"{_settled(h, place, 1, towards)} AS _{end}{h}_{place}")
+        value = f"CASE WHEN _size > {2 * h} THEN {_end_rule(h)} ELSE {value} END"
+    return (
+        df.selectExpr("*", *series)
+        .selectExpr("*", *around)
+        .selectExpr("*", *seconds)
+        .selectExpr("*", f"{value} AS _y")
+    )
+
+
+def _settled(h: int, place: int, seen_from: int, towards: int) -> str:
+    """Point ``place`` counted from an end, as seen from point ``seen_from``."""
+    reached = range(1, 2 * place) if place <= h else [place]
+    return median_of([_near(f"_s{h}", (j - seen_from) * towards) for j in reached])
+
+
+def _outermost(first: str, second: str, third: str) -> str:
+    line = f"(3 * {second} - 2 * {third})"
+    return f"CASE WHEN {first} + {line} IS NOT NULL THEN {med3(first, second, line)} END"
+
+
+def _end_rule(h: int) -> str:
+    places = []
+    for count_from, end, towards in (("_pos", "head", 1), ("_tail", "tail", -1)):
+        second, third = f"_{end}{h}_2", f"_{end}{h}_3"
         if h == 1 and towards < 0:
             # Of three points the head is settled before the tail looks at it.
-            head = outermost(third, second, F.col("_x"))
-            third = F.when(F.col("_size") == 3, head).otherwise(third)
-        result = F.when(place == 1, outermost(F.col("_x"), second, third)).otherwise(result)
-    return result
+            head = _outermost(third, second, "_x")
+            third = f"(CASE WHEN _size = 3 THEN {head} ELSE {third} END)"
+        places.append(f"WHEN {count_from} = 1 THEN {_outermost('_x', second, third)}")
+        for i in range(2, h + 1):
+            places.append(f"WHEN {count_from} = {i} THEN {_settled(h, i, i, towards)}")
+    return f"CASE {' '.join(places)} ELSE _s{h} END"

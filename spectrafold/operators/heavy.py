@@ -8,9 +8,8 @@ The table of heavy groups is the only thing broadcast here. It holds at most ``M
 rows, whatever the data: the groups that do not make it are smaller than
 ``total rows / MAX_HEAVY`` each, which one task can hold.
 
-The facts about a group travel as one array, so that both ways ask for the same columns and
-Spark runs the counting pass and the broadcast once for all of them. If no group is heavy,
-AQE finds the broadcast empty and drops the other way before it reads anything.
+The groups are counted first, in a pass that pre-aggregates before its shuffle. In most runs
+none is heavy and the plan is the ordinary way alone.
 """
 
 from __future__ import annotations
@@ -25,34 +24,37 @@ MAX_HEAVY = 200_000
 
 def heavy_groups(
     df: DataFrame, keys: Sequence[str], limit: int, facts: Mapping[str, Column] | None = None
-) -> DataFrame:
-    """Groups of more than ``limit`` rows, with their ``facts`` (aggregates cast to double)."""
+) -> DataFrame | None:
+    """Groups of more than ``limit`` rows, or None if there are none.
+
+    ``_facts`` is an array: the number of rows, then the ``facts`` (aggregates) as doubles.
+    """
     values = [agg.cast("double") for agg in (facts or {}).values()]
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.array(F.count(F.lit(1)).cast("double"), *values).alias("_facts"),
     )
-    order = [F.col("_rows").desc(), *[F.col(k).asc_nulls_first() for k in keys]]
-    largest = sizes.where(F.col("_rows") > limit).orderBy(*order).limit(MAX_HEAVY)
-    return largest.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_facts")
+    largest = sizes.where(f"_rows > {limit}").orderBy(F.desc("_rows"), *keys).limit(MAX_HEAVY)
+    # Kept because the test below and the plans that follow read the same few rows.
+    heavy = largest.selectExpr(*[f"`{k}` AS `_h_{k}`" for k in keys], "_facts").persist()
+    if heavy.isEmpty():
+        heavy.unpersist()
+        return None
+    return heavy
 
 
 def _marked(df: DataFrame, heavy: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     # Null-safe: the NULL group is a group like any other.
-    match = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    match = F.expr(" AND ".join(f"`{k}` <=> `_h_{k}`" for k in keys))
     return df.join(F.broadcast(heavy), match, how).drop(*[f"_h_{k}" for k in keys])
 
 
 def without_heavy(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of all other groups."""
-    return _marked(df, heavy, keys, "left").where(F.col("_facts").isNull()).drop("_facts")
+    return _marked(df, heavy.drop("_facts"), keys, "left_anti")
 
 
 def only_heavy(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the heavy groups, with the column ``_facts``."""
     return _marked(df, heavy, keys, "inner")
 
-
-def fact(place: int) -> Column:
-    """The number of rows (0) or the fact at ``place``, counted from 1."""
-    return F.get("_facts", F.lit(place))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.operators.heavy import fact, heavy_groups, only_heavy, without_heavy
+from spectrafold.operators.heavy import heavy_groups, only_heavy, without_heavy
 
 GROUP_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -30,34 +30,30 @@ def exact_quantiles(
     the two middle ones); without ``interpolate`` they are the value of rank ``ceil(p n)``.
     A NULL in the group makes its quantiles NULL.
 
-    Two passes over ``df``: the first counts, the second aggregates. When ``df`` is costly,
-    hand in rows that come out of a shuffle (``repartition``): both passes then read it.
+    Two passes over ``df``: the first counts the groups right away, the second aggregates.
+    When ``df`` is costly, hand in settled rows (``session.settle``).
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    names = [f"`{k}`" for k in keys]
+    rows = df.selectExpr(*names, f"CAST(`{value}` AS DOUBLE) AS _v")
     limit = max(group_rows, SKETCH_ACCURACY)  # the brackets need some ranks on either side
     heavy = heavy_groups(rows, keys, limit, {"known": F.count("_v")})
-    light = _in_one_task(without_heavy(rows, heavy, keys), keys, probabilities, interpolate)
+    if heavy is None:
+        return _in_one_task(rows, names, probabilities, interpolate)
+    light = _in_one_task(without_heavy(rows, heavy, keys), names, probabilities, interpolate)
     return light.unionByName(_spread(rows, heavy, keys, probabilities, interpolate))
 
 
 def _in_one_task(
-    rows: DataFrame,
-    keys: Sequence[str],
-    probabilities: Mapping[str, float],
-    interpolate: bool,
+    rows: DataFrame, names: Sequence[str], probabilities: Mapping[str, float], interpolate: bool
 ) -> DataFrame:
     wanted = ", ".join(f"{float(p)}D" for p in probabilities.values())
     kind = "percentile_cont" if interpolate else "percentile_disc"
-    found = rows.groupBy(*keys).agg(
+    found = rows.groupBy(*names).agg(
         F.expr(f"{kind}(array({wanted})) WITHIN GROUP (ORDER BY _v)").alias("_q"),
-        (F.count(F.lit(1)) == F.count("_v")).alias("_whole"),
+        F.expr("count(1) = count(_v)").alias("_whole"),
     )
-    return found.select(
-        *keys,
-        *[
-            F.when(F.col("_whole"), F.get("_q", F.lit(i))).alias(name)
-            for i, name in enumerate(probabilities)
-        ],
+    return found.selectExpr(
+        *names, *[f"IF(_whole, _q[{i}], NULL) AS `{n}`" for i, n in enumerate(probabilities)]
     )
 
 
@@ -74,72 +70,57 @@ def _spread(
     onto NULL below the first one, so the counts keep every row while only a small share of
     the distinct values is ranked.
     """
-    probs = list(probabilities.values())
-    ends = [
-        min(1.0, max(0.0, p + side)) for p in probs for side in (-BRACKET, BRACKET)
-    ]
+    names = [f"`{k}`" for k in keys]
     # A group with a NULL is settled: its quantiles are NULL.
-    whole = heavy.where(fact(0) == fact(1))
-    unknown = heavy.where(fact(0) > fact(1)).select(
-        *[F.col(f"_h_{k}").alias(k) for k in keys],
-        *[F.lit(None).cast("double").alias(name) for name in probabilities],
+    whole = heavy.where("_facts[0] = _facts[1]")
+    unknown = heavy.where("_facts[0] > _facts[1]").selectExpr(
+        *[f"`_h_{k}` AS `{k}`" for k in keys],
+        *[f"CAST(NULL AS DOUBLE) AS `{n}`" for n in probabilities],
     )
-    known = only_heavy(rows, whole, keys).withColumn("_n", fact(0))
-    sketch = F.percentile_approx("_v", [float(e) for e in ends], SKETCH_ACCURACY)
-    brackets = known.groupBy(*keys).agg(sketch.alias("_b"))
+    known = only_heavy(rows, whole, keys).selectExpr(*names, "_v", "_facts[0] AS _n")
+    ends = ", ".join(
+        f"{min(1.0, max(0.0, p + side))}D"
+        for p in probabilities.values() for side in (-BRACKET, BRACKET)
+    )
+    sketch = f"percentile_approx(_v, array({ends}), {SKETCH_ACCURACY})"
+    brackets = known.groupBy(*names).agg(F.expr(sketch).alias("_b"))
     placed = known.join(
-        F.broadcast(brackets.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_b")),
-        [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys],
+        F.broadcast(brackets.selectExpr(*[f"`{k}` AS `_b_{k}`" for k in keys], "_b")),
+        F.expr(" AND ".join(f"`{k}` <=> `_b_{k}`" for k in keys)),
         "left",
     )
     clamped = [
-        F.when(
-            F.col("_v") >= F.get("_b", F.lit(2 * i)),
-            F.least("_v", F.get("_b", F.lit(2 * i + 1))),
-        )
-        for i in range(len(probs))
+        f"CASE WHEN _v >= _b[{2 * i}] THEN least(_v, _b[{2 * i + 1}]) END"
+        for i in range(len(probabilities))
     ]
-    slot = clamped[0] if len(clamped) == 1 else F.greatest(*clamped)
+    slot = clamped[0] if len(clamped) == 1 else f"greatest({', '.join(clamped)})"
     # A row that was moved sorts after the rows that really have that value.
-    place = [F.col("_slot").asc_nulls_first(), F.col("_moved").asc()]
     counts = (
-        placed.withColumn("_slot", slot)
-        .withColumn("_moved", ~F.col("_slot").eqNullSafe(F.col("_v")))
-        .groupBy(*keys, "_n", "_slot", "_moved")
+        placed.selectExpr(*names, "_n", "_v", f"{slot} AS _slot")
+        .selectExpr(*names, "_n", "_slot", "NOT (_slot <=> _v) AS _moved")
+        .groupBy(*names, "_n", "_slot", "_moved")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    upto = (
-        Window.partitionBy(*keys)
-        .orderBy(*place)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = f"PARTITION BY {', '.join(names)} ORDER BY _slot NULLS FIRST, _moved"
+    ranked = counts.selectExpr(
+        "*",
+        f"sum(_c) OVER ({upto} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
     )
-    ranked = counts.withColumn("_cum", F.sum("_c").over(upto))
-
-    def at_rank(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") >= rank, F.struct("_slot", "_moved")))
-
-    def value_of(found: str) -> Column:
-        return F.when(
-            F.col(found)["_moved"], F.raise_error(F.lit("quantile outside its bracket"))
-        ).otherwise(F.col(found)["_slot"])
-
-    def position(p: float) -> Column:
-        exact = (F.col("_n") - 1) * F.lit(float(p)) + 1
-        return exact if interpolate else F.greatest(F.ceil(F.col("_n") * p), F.lit(1))
-
-    found = []
-    for i, p in enumerate(probs):
-        found += [
-            at_rank(F.floor(position(p))).alias(f"_lo{i}"),
-            at_rank(F.ceil(position(p))).alias(f"_hi{i}"),
-        ]
-    picked = ranked.groupBy(*keys, "_n").agg(*found)
-    out = []
+
+    found, out = [], []
     for i, (name, p) in enumerate(probabilities.items()):
-        share = position(p) - F.floor(position(p))
-        low, high = value_of(f"_lo{i}"), value_of(f"_hi{i}")
-        out.append(((F.lit(1.0) - share) * low + share * high).alias(name))
-    return picked.select(*keys, *out).unionByName(unknown)
+        at = f"((_n - 1) * {float(p)}D + 1)" if interpolate else f"greatest(ceil(_n * {float(p)}D), 1)"
+        for end, rank in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
+            spot = f"min(CASE WHEN _cum >= {rank} THEN struct(_slot, _moved) END)"
+            found.append(F.expr(spot).alias(f"_{end}{i}"))
+        low, high = (
+            f"IF(_{end}{i}._moved, raise_error('quantile outside its bracket'), _{end}{i}._slot)"
+            for end in ("lo", "hi")
+        )
+        share = f"({at} - floor({at}))"
+        out.append(f"(1 - {share}) * {low} + {share} * {high} AS `{name}`")
+    picked = ranked.groupBy(*names, "_n").agg(*found)
+    return picked.selectExpr(*names, *out).unionByName(unknown)
 
 
 def exact_median(

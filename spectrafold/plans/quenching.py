@@ -19,6 +19,7 @@ from spectrafold.operators.joins import (
 from spectrafold.operators.models import origin_slope
 from spectrafold.operators.smoothing import local_regression
 from spectrafold.plans.yields import EMISSION_START, absorbance_365
+from spectrafold.session import settle
 
 # Sample volume, acceptance limits, linear range and pH of the series.
 TOTAL_VOLUME = 3300.0
@@ -46,7 +47,7 @@ def dilution_curve(fl: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def dilution_fit(fl: DataFrame, samples: DataFrame, points: int = 80) -> DataFrame:
-    curve = dilution_curve(fl, samples)
+    curve = settle(dilution_curve(fl, samples), "dilution")
     return local_regression(curve, "conc_rel", "integral", ["sample"], points=points)
 
 
@@ -77,7 +78,7 @@ def quenched_spectra(fl: DataFrame, samples: DataFrame) -> DataFrame:
     sheet = sheet.select("file", "c_Hg", "sample", "pH")
     rows = attach_samples(clip_wavelength(fl, EMISSION_START, lo_open=True), sheet)
     groups = ["c_Hg", "sample", "pH"]
-    medians = replicate_median(rows, ["wavelength", *groups], "intensity")
+    medians = settle(replicate_median(rows, ["wavelength", *groups], "intensity"), "medians")
     scaled = normalize_to_max(medians, "intensity", groups)
     return scaled.withColumn("pH", F.concat(F.lit("pH = "), category(F.col("pH"), PH_LABELS)))
 

@@ -21,6 +21,7 @@ from spectrafold.operators.design import encode_levels, level_grid, top_k, two_w
 from spectrafold.operators.filters import has_text
 from spectrafold.operators.joins import attach_samples, attach_scalar, normalize_to_reference
 from spectrafold.operators.models import INTERCEPT, gated_product, ols, score
+from spectrafold.session import settle
 
 # Yield of the reference dye, excitation, emission border and bands in nm.
 REFERENCE_YIELD = 0.54
@@ -46,7 +47,8 @@ def quantum_yield(df: DataFrame, ref_qy: float = REFERENCE_YIELD) -> DataFrame:
 
 
 def _features(fl: DataFrame, ab: DataFrame, samples: DataFrame) -> DataFrame:
-    features = spectrum_features(fl, ["file"], EMISSION_START, BANDS)
+    # One row per spectrum from here on, read again for references, levels and models.
+    features = settle(spectrum_features(fl, ["file"], EMISSION_START, BANDS), "features")
     scaled = per_absorbance(
         features, absorbance_365(ab), ["integral", "scatter", *BANDS]
     )
@@ -176,4 +178,4 @@ def optimum(grid: DataFrame, by: str, k: int) -> DataFrame:
     """Where the ``k`` best grid points with the highest gold level lie."""
     ties = ["AMP_level", "N3_level", "Citr_level", "NaH_level"]
     best = top_k(grid.where(F.col("Au_level") == 1), by, k, ties)
-    return numeric_summary(best, [*FACTORS, "yellow", "qy", "target"])
+    return numeric_summary(settle(best, "optimum"), [*FACTORS, "yellow", "qy", "target"])
