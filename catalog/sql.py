@@ -198,32 +198,34 @@ block("mix_emission", """
 
 block("dose_sheet", "SELECT file, c_Hg_stock * V_Hg / 3300::DOUBLE AS c_Hg, sample, pH FROM dose")
 block("dose_sums", f"""
-    SELECT x.file, s.c_Hg, s.sample, s.pH, sum(intensity) AS integral
+    SELECT x.file, s.c_Hg, s.sample, s.pH, {strict('sum', 'intensity')} AS integral
     FROM fux x LEFT JOIN dose_sheet s ON x.file = s.file WHERE wavelength > 400
     GROUP BY x.file, s.c_Hg, s.sample, s.pH""")
-block("dose_spread", """
-    SELECT c_Hg, sample, pH, stddev_samp(integral) AS sd, median(integral) AS integral
+block("dose_spread", f"""
+    SELECT c_Hg, sample, pH, {strict('stddev_samp', 'integral')} AS sd,
+      {strict('median', 'integral')} AS integral
     FROM dose_sums GROUP BY c_Hg, sample, pH""")
 block("dose_resp", """
     SELECT d.*, r.integral AS ref, d.integral / nullif(r.integral, 0) AS rel_integral,
       d.sd / nullif(r.integral, 0) AS rel_sd
     FROM dose_spread d LEFT JOIN (SELECT * FROM dose_spread WHERE c_Hg = 0) r
       ON d.sample = r.sample AND d.pH = r.pH""")
-block("ion_sums", """
-    SELECT x.file, s.sample, s.ion, sum(intensity) AS integral
+block("ion_sums", f"""
+    SELECT x.file, s.sample, s.ion, {strict('sum', 'intensity')} AS integral
     FROM fux x LEFT JOIN ions s ON x.file = s.file WHERE wavelength > 400
     GROUP BY x.file, s.sample, s.ion""")
-block("ion_spread", """
-    SELECT sample, ion, stddev_samp(integral) AS sd, median(integral) AS integral
+block("ion_spread", f"""
+    SELECT sample, ion, {strict('stddev_samp', 'integral')} AS sd,
+      {strict('median', 'integral')} AS integral
     FROM ion_sums GROUP BY sample, ion""")
 block("ion_resp", """
     SELECT d.*, r.integral AS ref, d.integral / nullif(r.integral, 0) AS rel_integral,
       d.sd / nullif(r.integral, 0) AS rel_sd
     FROM ion_spread d LEFT JOIN (SELECT * FROM ion_spread WHERE ion = 'ref') r
       ON d.sample = r.sample""")
-block("dilution", """
+block("dilution", f"""
     SELECT x.file, round_even(s.V_sample / s.V_total, 2) AS conc_rel, min(s.sample) AS sample,
-      sum(x.intensity) AS integral
+      {strict('sum', 'x.intensity')} AS integral
     FROM fpx x LEFT JOIN ph s ON x.file = s.file WHERE s.pH IS NULL
     GROUP BY x.file, round_even(s.V_sample / s.V_total, 2)""")
 
@@ -236,14 +238,15 @@ def signif(x: str, digits: int) -> str:
 
 block("quenched_med", f"""
     SELECT x.wavelength, {signif('(s.c_Hg * 1e6)', 2)} AS c_Hg, s.sample, s.pH,
-      median(x.intensity) AS intensity
+      {strict('median', 'x.intensity')} AS intensity
     FROM fux x LEFT JOIN dose_sheet s ON x.file = s.file WHERE x.wavelength > 400
     GROUP BY ALL""")
 block("quenched", """
     SELECT wavelength, c_Hg, sample,
       concat('pH = ', CASE pH WHEN 'low' THEN '3.8' WHEN 'high' THEN '6.0' END) AS pH,
-      intensity / nullif(max(intensity) OVER (PARTITION BY c_Hg, sample, pH), 0) AS intensity
-    FROM quenched_med""")
+      CASE WHEN count(*) OVER g = count(intensity) OVER g
+        THEN intensity / nullif(max(intensity) OVER g, 0) END AS intensity
+    FROM quenched_med WINDOW g AS (PARTITION BY c_Hg, sample, pH)""")
 
 
 # --- least squares ------------------------------------------------------------------------

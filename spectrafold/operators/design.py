@@ -15,7 +15,7 @@ from spectrafold.operators.joins import left_join_null_safe
 def encode_levels(
     df: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``2 (x - mean) / (max - min)`` under the given names; a constant column is NULL.
+    """Set ``2 (x - mean) / (max - min)`` under the given names; a constant column is NULL.
 
     The statistics are one aggregate row (per key), attached as a scalar or by a join, so
     no window ever gathers the table.
@@ -45,7 +45,8 @@ def encode_levels(
         )
         for column, name in columns.items()
     }
-    return joined.select(*df.columns, *[c.alias(name) for name, c in coded.items()])
+    kept = [c for c in df.columns if c not in coded]
+    return joined.select(*kept, *[c.alias(name) for name, c in coded.items()])
 
 
 def level_grid(

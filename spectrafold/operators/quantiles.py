@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.operators.heavy import heavy_groups, only_heavy, without_heavy
 
-GROUP_ROWS = 1_000_000
+GROUP_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 # The sketch is off by at most one part in SKETCH_ACCURACY; ten parts on either side of the
 # wanted probability are certain to enclose it.
