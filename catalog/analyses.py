@@ -218,7 +218,14 @@ def _(t):
     return yields.optimum(_response(t), "target", 20)
 
 
-@entry("C8_grid_profile", None, "qy yellow")
+# Averaged over levels that are symmetric about 0, the terms of the other factors vanish.
+_AVERAGED = [INTERCEPT, "N3_level", "NaH_level", "N3_level:NaH_level"]
+
+
+@entry("C8_grid_profile", f"SELECT N3_level, NaH_level, 41 * 41 * 41::BIGINT AS n,"
+       f" {_polynomial('m_qy', yields.YIELD_TERMS)} AS qy,"
+       f" {_polynomial('m_target', _AVERAGED)} AS yellow"
+       f" FROM ({_levels('N3_level', 'NaH_level')}) g", "N3_level NaH_level qy yellow")
 def _(t):
     """Mean prediction per azide and sodium level over the whole five-factor grid."""
     grid = yields.response_grid(t.spark, settle(factorial_design(t), "design"))

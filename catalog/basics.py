@@ -354,16 +354,19 @@ def _(t):
     return running_median(t.fl, 5, order=FL_ORDER).select("file", "seq", "intensity")
 
 
-@entry("W3_running_median_ends", "SELECT file, seq, i, intensity FROM fls WHERE i <= 2 OR"
+@entry("W3_running_median_ends", "SELECT file, seq, 'head' AS end, i AS place, intensity FROM fls"
+       " WHERE i <= 2 UNION ALL SELECT file, seq, 'tail', n + 1 - i, intensity FROM fls WHERE"
        " i >= n - 1", "intensity")
 def _(t):
-    smooth = running_median(t.fl, 5, order=FL_ORDER)
-    w = Window.partitionBy("file").orderBy(*FL_ORDER)
-    ranked = smooth.withColumns(
-        {"i": F.row_number().over(w).cast("long"), "past": F.lead("seq", 2).over(w)}
-    )
-    ends = ranked.where((F.col("i") <= 2) | F.col("past").isNull())
-    return ends.select("file", "seq", "i", "intensity")
+    """The first and last two points; the rank filter prunes rows before they are shuffled."""
+    smooth = running_median(t.fl, 5, order=FL_ORDER).select("file", "seq", "wavelength", "intensity")
+    ends = []
+    for end, order in (("head", F.asc), ("tail", F.desc)):
+        w = Window.partitionBy("file").orderBy(*[order(c) for c in FL_ORDER])
+        ranked = smooth.withColumn("place", F.row_number().over(w)).where("place <= 2")
+        ends.append(ranked.select("file", "seq", F.lit(end).alias("end"),
+                                  F.col("place").cast("long").alias("place"), "intensity"))
+    return ends[0].unionByName(ends[1])
 
 
 @entry("W4_normalize_to_max", "SELECT file, seq, intensity / nullif(max(intensity) OVER"

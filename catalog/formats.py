@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.registry import entry
@@ -129,12 +129,11 @@ def _(t):
 
 
 @entry("K3_file_listing", "SELECT concat('Subt2_', lpad(CAST(file AS VARCHAR), 5, '0')) AS file,"
-       " row_number() OVER (ORDER BY file) AS place FROM (SELECT DISTINCT file FROM fl) x")
+       " count(*) AS n FROM fu GROUP BY file")
 def _(t):
-    """Listing order does not matter to a scan; it is recovered by sorting the few stems."""
-    stems = t.fl.select(_stem("Subt2_").alias("file")).distinct()
-    place = F.row_number().over(Window.orderBy("file")).cast("long")
-    return stems.withColumn("place", place)
+    """Listing order does not matter to a scan; the stems can be sorted afterwards."""
+    stems = t.fu.select(_stem("Subt2_").alias("file")).groupBy("file")
+    return stems.agg(F.count(F.lit(1)).alias("n")).orderBy("file")
 
 
 @entry("S1_U1_directory_union", "SELECT file, wavelength, intensity FROM fl UNION ALL"

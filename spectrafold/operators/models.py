@@ -180,8 +180,8 @@ def anova_type2(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] =
     )
 
 
-def predictor(coefs: DataFrame, terms: Sequence[str]) -> Column:
-    """The fitted polynomial over ``terms`` (a subset of the fitted ones is allowed).
+def score(df: DataFrame, coefs: DataFrame, terms: Sequence[str], name: str) -> DataFrame:
+    """Add the fitted polynomial over ``terms`` (a subset of the fitted ones is allowed).
 
     The coefficients are one struct that Spark computes once and hands to every task; each
     row is scored inside generated code. A term that was not fitted fails the query.
@@ -192,17 +192,12 @@ def predictor(coefs: DataFrame, terms: Sequence[str]) -> Column:
         return F.when(F.max(hit), F.max(F.when(hit, F.col("coef")))).otherwise(missing)
 
     row = coefs.agg(*[coefficient(t).alias(f"c{i}") for i, t in enumerate(terms)])
-    values = row.select(F.struct("*").alias("c")).scalar()
-    total = None
+    parts = []
     for i, term in enumerate(terms):
-        part = values[f"c{i}"]
-        part = part if term == INTERCEPT else part * term_value(term)
-        total = part if total is None else total + part
-    return total
-
-
-def score(df: DataFrame, coefs: DataFrame, terms: Sequence[str], name: str) -> DataFrame:
-    return df.withColumn(name, predictor(coefs, terms))
+        factors = [] if term == INTERCEPT else [f"`{f}`" for f in term.split(":")]
+        parts.append(" * ".join([f"_coef.c{i}", *factors]))
+    scored = df.withColumn("_coef", row.select(F.struct("*")).scalar())
+    return scored.withColumn(name, F.expr(" + ".join(parts))).drop("_coef")
 
 
 def gated_product(gate: Column, threshold: float, factor: Column) -> Column:

@@ -19,9 +19,24 @@ SETTINGS = {
 }
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+# What one task should sort: it fits in executor memory, and 100 TB stay at 200,000 tasks.
+SHUFFLE_BYTES = 512 * 1024**2
+
+
+def configure(
+    builder: SparkSession.Builder, input_bytes: int | None = None
+) -> SparkSession.Builder:
+    """Apply the settings; ``input_bytes`` sizes the shuffles for that much data.
+
+    AQE merges partitions that turn out small but never splits one that a window needs
+    whole, so the number to start from has to grow with the data.
+    """
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if input_bytes is not None:
+        partitions = max(200, -(-input_bytes // SHUFFLE_BYTES))
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+        builder = builder.config("spark.sql.files.maxPartitionBytes", str(SHUFFLE_BYTES))
     return builder
 
 

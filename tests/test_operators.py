@@ -63,7 +63,7 @@ def test_layers_skip_null_rules(spark):
 
 
 def points(spark):
-    rows = [(f, w, float(w), None if f == 2 else 2.0) for f in (1, 2) for w in range(350, 620, 10)]
+    rows = [(f, float(w), float(w), None if f == 2 else 2.0) for f in (1, 2) for w in range(350, 620, 10)]
     return spark.createDataFrame(rows, "file int, wavelength double, intensity double, absorbance double")
 
 
