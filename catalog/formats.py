@@ -10,7 +10,7 @@ from catalog.sql import block
 from catalog.views import FL_ORDER
 from spectrafold.functions import text
 from spectrafold.operators.joins import attach_samples
-from spectrafold.plans import spectra
+from spectrafold.plans import figures, spectra
 from spectrafold.session import shared_folder
 from spectrafold.sources.figures import write_figure
 from spectrafold.sources.instrument import (
@@ -45,8 +45,8 @@ def _write_spectra(df: DataFrame, signal: str, dialect: Dialect, prefix: str) ->
     header = df.select(stem.alias("file")).distinct().select("file", F.lit(0).alias("part"),
                                                              top.alias("value"))
     path = shared_folder(df.sparkSession, "instrument")
-    # Spread by line, not by spectrum: a part file may lack the header, as a split file does.
-    lines = data.unionByName(header).repartition("file", F.pmod(F.hash("value"), F.lit(4)))
+    # A spectrum too large for one task is split; its further part files have no header.
+    lines = data.unionByName(header).hint("rebalance", F.col("file"))
     lines.sortWithinPartitions("file", "part").drop("part").write.partitionBy("file").text(path)
     return path
 
@@ -144,6 +144,19 @@ def _(t):
     return _numbered(read_spectra_set(t.spark, paths, folder_is_spectrum=True))
 
 
+@entry("F2c_stored_control_emission", "SELECT x.file, x.wavelength, x.intensity, c.label FROM fuv x"
+       " JOIN controls c ON x.file = c.file WHERE x.wavelength BETWEEN 400 AND 800",
+       "wavelength intensity")
+def _(t):
+    """From instrument files to figure rows. Equal wavelengths are told apart by the signal."""
+    path = _write_spectra(t.fu, "intensity", OCEAN, "Subt2_")
+    raw = _numbered(read_spectra(t.spark, path, folder_is_spectrum=True))
+    order = ("wavelength", "intensity")
+    fl = spectra.fluorescence(raw, order, t.factorial, spectra.sample_is("control"))
+    rows = figures.control_emission(fl, t.factorial)
+    return rows.select("file", "wavelength", "intensity", "label")
+
+
 # --- plates -------------------------------------------------------------------------------------
 
 # Scan header cells and the wells of the test plate.

@@ -78,6 +78,7 @@ def _smoothed(name: str, source: str, x: str, signal: str, by: str) -> None:
 _cleaned("flc", "fl", "intensity", FL_ORDER)
 _cleaned("abc", "ab", "absorbance", AB_ORDER)
 _cleaned("fuc", "fu", "intensity", FL_ORDER)
+_cleaned("fuv", "fu", "intensity", ("wavelength", "intensity"))
 _cleaned("auc", "au", "absorbance", AB_ORDER)
 _cleaned("fpc", "fp", "intensity", FL_ORDER)
 _cleaned("apc", "ap", "absorbance", AB_ORDER)

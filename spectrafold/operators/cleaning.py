@@ -79,6 +79,7 @@ def _clean(
     columns = [f"`{c}`" for c in df.columns]
     kept = [c for c in columns if c != f"`{signal}`"]
     rows = df.selectExpr(*kept, f"CAST(`{signal}` AS DOUBLE) AS _x")
+    order = ["_x" if c == signal else c for c in order]
     inside = "wavelength > {} AND wavelength < {}".format(*baseline) if baseline else "FALSE"
     facts = {"first": F.min("wavelength"), "last": F.max("wavelength")}
     if baseline:

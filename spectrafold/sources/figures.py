@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_figure(df: DataFrame, path: str, facets: Sequence[str] = ()) -> None:
-    """Overwrite ``path`` with the rows of the figure, one folder per facet value."""
-    writer = df.write.mode("overwrite")
-    if facets:
-        writer = writer.partitionBy(*facets)
-    writer.parquet(path)
+    """Overwrite ``path`` with the rows of the figure, one folder per facet value.
+
+    The rows of a facet are brought together first, so that a folder gets few files; the
+    rebalance splits a facet that is too large for one task.
+    """
+    if not facets:
+        df.write.mode("overwrite").parquet(path)
+        return
+    together = df.hint("rebalance", *[F.col(c) for c in facets])
+    together.write.mode("overwrite").partitionBy(*facets).parquet(path)
 
 
 def band_polygons(spark: SparkSession) -> DataFrame:
