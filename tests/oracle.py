@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
@@ -21,37 +21,36 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _plain(value):
-    if value is None:
-        return None
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else value + 0.0
-    return value
+KINDS = {
+    "bigint": ("BIGINT", pa.int64()),
+    "int": ("INTEGER", pa.int32()),
+    "double": ("DOUBLE", pa.float64()),
+    "string": ("VARCHAR", pa.string()),
+    "boolean": ("BOOLEAN", pa.bool_()),
+}
 
 
-def _sorted(rows, names):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    plain = [tuple(_plain(row[i]) for i in order) for row in rows]
-    return sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0)
-                                             for v in r))
+def _sorted(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    table = table.select(schema.names).cast(schema).combine_chunks()
+    return table.sort_by([(name, "ascending") for name in schema.names])
 
 
 def compare(df, con, text) -> str:
     """Empty if equal, else what differs first."""
-    cursor = con.execute(text)
-    sql_names = [d[0] for d in cursor.description]
-    sql_types = {d[0]: str(d[1]) for d in cursor.description}
-    expected = cursor.fetchall()
-    got = [tuple(r) for r in df.collect()]
-    if sorted(df.columns) != sorted(sql_names):
-        return f"columns {sorted(df.columns)} vs {sorted(sql_names)}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-             "boolean": "BOOLEAN"}
+    result = con.sql(text)
+    sql_types = dict(zip(result.columns, map(str, result.types)))
+    if sorted(df.columns) != sorted(sql_types):
+        return f"columns {sorted(df.columns)} vs {sorted(sql_types)}"
     for name, kind in df.dtypes:
-        if kinds.get(kind) != sql_types[name]:
+        if KINDS[kind][0] != sql_types[name]:
             return f"type of {name}: {kind} vs {sql_types[name]}"
+    expected = result.to_arrow_table()
+    got = df.toArrow()
     if len(got) != len(expected):
         return f"rows {len(got)} vs {len(expected)}"
-    a, b = _sorted(got, df.columns), _sorted(expected, sql_names)
-    wrong = [(x, y) for x, y in zip(a, b) if x != y]
+    schema = pa.schema([(name, KINDS[kind][1]) for name, kind in sorted(df.dtypes)])
+    a, b = _sorted(got, schema), _sorted(expected, schema)
+    if a.equals(b):
+        return ""
+    wrong = [(x, y) for x, y in zip(a.to_pylist(), b.to_pylist()) if x != y]
     return f"{len(wrong)} of {len(a)} rows, first {wrong[0]}" if wrong else ""
