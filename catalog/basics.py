@@ -499,7 +499,11 @@ def _(t):
                        "label", *FLAGS)
 
 
-@entry("X7_round_half_even", "SELECT seq, round_even(price / 3, 2) AS rounded FROM runs", "rounded")
+@entry("X7_round_half_even", """
+    SELECT seq, CASE WHEN x - lo < hi - x THEN lo WHEN x - lo > hi - x THEN hi
+      WHEN floor(x * 100) % 2 = 0 THEN lo ELSE hi END AS rounded
+    FROM (SELECT seq, x, floor(x * 100) / 100 AS lo, ceil(x * 100) / 100 AS hi
+      FROM (SELECT seq, price / 3 AS x FROM runs) r) c""", "rounded")
 def _(t):
     return t.runs.select("seq", numeric.round_half_even(F.col("price") / 3, 2).alias("rounded"))
 

@@ -23,7 +23,7 @@ class Entry:
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.plan(Tables(spark, folder))
-        nudge = F.lit(float(f"1.3e-{self.digits + 2}"))
+        nudge = F.lit(float(f"{sql.NUDGE}e-{self.digits + 2}"))
         return df.withColumns({c: F.round(F.col(f"`{c}`") + nudge, self.digits) for c in self.doubles})
 
     def check(self) -> str | None:

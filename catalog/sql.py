@@ -36,11 +36,15 @@ def with_blocks(select: str) -> str:
     return f"WITH {recursive}{blocks}\n{select}"
 
 
+# No short decimal, so that no value of the tables lies exactly this far from a tie.
+NUDGE = "1.23456789012"
+
+
 def rounded(select: str, columns: Sequence[str], digits: int) -> str:
     """The nudge keeps exact ties from falling to either side in the two engines."""
     if not columns:
         return select
-    nudged = ", ".join(f'round("{c}" + 1.3e-{digits + 2}, {digits}) AS "{c}"' for c in columns)
+    nudged = ", ".join(f'round("{c}" + {NUDGE}e-{digits + 2}, {digits}) AS "{c}"' for c in columns)
     return f"SELECT * REPLACE ({nudged}) FROM ({select}) t"
 
 

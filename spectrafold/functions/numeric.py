@@ -22,7 +22,16 @@ def signif(value: Column, digits: int) -> Column:
 
 
 def round_half_even(value: Column, scale: int) -> Column:
-    return F.bround(value, scale)
+    """The nearer of the two neighbours with ``scale`` decimals; of equally near ones the even.
+
+    Nearness is judged on the number as stored, so 0.15 (stored a little below) rounds to 0.1.
+    """
+    power = F.lit(10.0**scale)
+    below = F.floor(value * power)
+    low, high = below / power, F.ceil(value * power) / power
+    down, up = value - low, high - value
+    even = F.when(below % 2 == 0, low).otherwise(high)
+    return F.when(down < up, low).when(down > up, high).when(down == up, even)
 
 
 def med3(a: str, b: str, c: str) -> str:

@@ -60,6 +60,15 @@ def test_signif(dual, value, digits, want):
     assert one(dual, numeric.signif(F.lit(value), digits).alias("x")).x == want
 
 
+@pytest.mark.parametrize(
+    "value, scale, want",
+    [(0.15, 1, 0.1), (0.25, 1, 0.2), (0.75, 1, 0.8), (0.0333, 2, 0.03), (-2.5, 0, -2.0),
+     (0.5, 2, 0.5), (3.0, 2, 3.0)],
+)
+def test_round_half_even(dual, value, scale, want):
+    assert one(dual, numeric.round_half_even(F.lit(value), scale).alias("x")).x == want
+
+
 def test_signif_of_null(dual):
     assert one(dual, numeric.signif(F.lit(None).cast("double"), 2).alias("x")).x is None
 
