@@ -13,11 +13,14 @@ from spectrafold.operators.joins import attach_samples
 from spectrafold.plans.yields import absorbance_365
 
 FLAGS = ["au_last", "water_last", "ligands_first"]
+# The label of a mixture and the component names of a control.
+MIXTURE_LABEL = "{comp_1_2} < {comp_3} < {comp_4} < {comp_5}"
+COMPONENTS = {"AMP": "AMP_ratio", "citr": "Citr_ratio", "N<sub>3</sub>": "N3_ratio"}
 
 
 def order_sheet(samples: DataFrame) -> DataFrame:
     """Label and order flags of each mixture; an unknown component gives an unknown flag."""
-    sheet = label(samples, "{comp_1_2} < {comp_3} < {comp_4} < {comp_5}")
+    sheet = label(samples, MIXTURE_LABEL)
     sheet = sheet.withColumns(
         {"au_last": F.col("comp_5") == "Au", "water_last": F.col("comp_5") == "w"}
     )
@@ -68,13 +71,7 @@ def emission_layers(fl: DataFrame, ab: DataFrame, samples: DataFrame) -> DataFra
 
 
 def control_label() -> Column:
-    return component_label(
-        {
-            "AMP": F.col("AMP_ratio"),
-            "citr": F.col("Citr_ratio"),
-            "N<sub>3</sub>": F.col("N3_ratio"),
-        }
-    )
+    return component_label({name: F.col(ratio) for name, ratio in COMPONENTS.items()})
 
 
 def control_spectra(spectra: DataFrame, samples: DataFrame) -> DataFrame:

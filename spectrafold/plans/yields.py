@@ -23,13 +23,17 @@ from spectrafold.operators.joins import attach_samples, attach_scalar, normalize
 from spectrafold.operators.models import INTERCEPT, gated_product, ols, score
 from spectrafold.session import settle
 
-# Yield of the reference dye, excitation, emission border and bands in nm.
+# Yield of the reference dye, excitation, emission border and bands in nm, the
+# yield above which a sample counts, factor names and labels.
 REFERENCE_YIELD = 0.54
 EXCITATION = 365.0
 EXCITATION_TOLERANCE = 3.0
 EMISSION_START = 400.0
 BANDS = {"int_365": (360.0, 370.0), "int_490": (480.0, 500.0), "int_600": (590.0, 610.0)}
 FACTORS = ["Au_level", "AMP_level", "N3_level", "Citr_level", "NaH_level"]
+BRIGHT_FRACTION = 0.02
+LEVEL_LABEL = "au{Au_level}_AMP{AMP_level}_Citr{Citr_level}_NaH{NaH_level}_N3{N3_level}"
+RATIO_LABEL = "au{Au_conc}_AMP{AMP_ratio}_Citr{Citr_ratio}_NaH{NaH_ratio}_N3{N3_ratio}"
 RATIOS = {
     "AMP_ratio": "AMP_level",
     "Citr_ratio": "Citr_level",
@@ -71,9 +75,7 @@ def ratio_yields(fl: DataFrame, ab: DataFrame, samples: DataFrame) -> DataFrame:
 def factorial_design(fl: DataFrame, ab: DataFrame, samples: DataFrame) -> DataFrame:
     """Yield, relative scatter, band means and band ratio of each factorial sample."""
     rows = _features(fl, ab, samples).where(F.col("type").isin("au", "ref"))
-    rows = label(
-        rows, "au{Au_level}_AMP{AMP_level}_Citr{Citr_level}_NaH{NaH_level}_N3{N3_level}"
-    )
+    rows = label(rows, LEVEL_LABEL)
     rows = _against_reference(rows, "integral", "ref_integral")
     rows = quantum_yield(_against_reference(rows, "scatter", "ref_scatter"))
     rows = rows.where(~has_text("type", "ref")).withColumns(
@@ -93,7 +95,7 @@ def pooled_yields(fl: DataFrame, ab: DataFrame, samples: DataFrame, kind: str) -
     """Yield of the samples of type ``kind`` against the mean of all reference spectra."""
     rows = _features(fl, ab, samples).where(F.col("type").isin(kind, "ref"))
     rows = rows.where(F.col("integral").isNotNull())
-    rows = label(rows, "au{Au_conc}_AMP{AMP_ratio}_Citr{Citr_ratio}_NaH{NaH_ratio}_N3{N3_ratio}")
+    rows = label(rows, RATIO_LABEL)
     pooled = rows.where(has_text("type", "ref")).agg(F.avg("integral"))
     rows = quantum_yield(attach_scalar(rows, pooled, "ref_integral"))
     return rows.where(~has_text("type", "ref"))
@@ -104,7 +106,7 @@ def optimisation_design(fl: DataFrame, ab: DataFrame, samples: DataFrame, kind:
     rows = encode_levels(pooled_yields(fl, ab, samples, kind), RATIOS)
     ratio = safe_div("int_600", "int_490")
     rows = rows.withColumn("int_600_490", ratio).withColumn(
-        "target", gated_product(F.col("qy"), 0.02, F.col("int_600_490"))
+        "target", gated_product(F.col("qy"), BRIGHT_FRACTION, F.col("int_600_490"))
     )
     return rows.select(
         "file", "label", *RATIOS, *RATIOS.values(), "qy", *BANDS, "int_600_490", "target"
