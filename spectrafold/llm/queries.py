@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import licenses, tokens, urls, warc
+from spectrafold.llm import decontaminate, licenses, mixing, substrings, tokens, toxicity, urls, warc
 from spectrafold.llm.frames import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,6 +64,45 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op3_decontamination",
+    r"""
+    WITH cut AS (
+        SELECT kind, id, list_filter(string_split_regex(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+        FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+              UNION ALL SELECT 'item', item_id, text FROM benchmark)
+    ), shingle AS (
+        SELECT DISTINCT kind, id, array_to_string(words[i : i + 4], ' ') AS s
+        FROM cut, unnest(range(1, len(words) - 3)) AS t(i)
+    ), sized AS (
+        SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingle WHERE kind = 'item'
+    ), hit AS (
+        SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n) AS n_item, count(*) AS n_shared
+        FROM sized i JOIN shingle d ON d.kind = 'doc' AND d.s = i.s GROUP BY ALL
+    )
+    SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+    FROM hit WHERE 10 * n_shared >= 8 * n_item
+    """,
+)
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that stand in documents: every pair found."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.contained(docs, table(spark, folder, "benchmark"))
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of every document, and its share in each domain."""
+    rows = mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    shares = [
+        F.round(F.col("posterior")[k], 6).alias(f"share_{name}")
+        for k, name in enumerate(mixing.TARGETS)
+    ]
+    return rows.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 @query("op6_licenses")
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licence findings of every document."""
@@ -73,6 +112,38 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op7_substring_dedup",
+    r"""
+    WITH cut AS (
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), win AS (
+        SELECT doc_id, i, sha256(array_to_string(words[i : i + 49], ' ')) AS w
+        FROM cut, unnest(range(1, len(words) - 48)) AS t(i)
+    ), dup AS (
+        SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS first_id FROM win)
+        WHERE first_id < doc_id
+    ), covered AS (
+        SELECT DISTINCT doc_id, i + k AS i FROM dup, unnest(range(0, 50)) AS t(k)
+    ), gone AS (
+        SELECT doc_id, list(i) AS places FROM covered GROUP BY doc_id
+    ), result AS (
+        SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
+               CASE WHEN places IS NULL THEN words
+                    ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END AS kept
+        FROM cut LEFT JOIN gone USING (doc_id)
+    )
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+           sha256(array_to_string(kept, ' ')) AS kept_sha256
+    FROM result
+    """,
+)
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document after substring dedup."""
+    return substrings.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Words and unigram tokens of every document."""
@@ -80,6 +151,16 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(docs, TOKENIZER).drop("text")
 
 
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted"
+    )
+
+
 @query(
     "op10_url_filter",
     """
