@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrafold.llm import decontaminate, licenses, mixing, substrings, tokens, toxicity, urls, warc
+from spectrafold.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    ngram_join,
+    substrings,
+    tokens,
+    toxicity,
+    urls,
+    warc,
+)
 from spectrafold.llm.frames import table
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -64,6 +74,40 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "op2_ngram_join",
+    r"""
+    WITH RECURSIVE cut AS (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[ \t\n\v\f\r]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), shingle AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS s
+        FROM cut, unnest(range(1, greatest(len(words) - 2, least(len(words), 1) + 1))) AS t(i)
+    ), sized AS (
+        SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM shingle
+    ), link AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n
+        HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), reach AS (
+        SELECT doc_id AS x, doc_id AS y FROM cut
+        UNION
+        SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+    )
+    SELECT cut.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles,
+           (SELECT min(y) FROM reach WHERE reach.x = cut.doc_id) AS component_id
+    FROM cut LEFT JOIN (SELECT DISTINCT doc_id, n FROM sized) USING (doc_id)
+    GROUP BY cut.doc_id
+    """,
+)
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under Jaccard links of 0.85."""
+    return ngram_join.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(
     "op3_decontamination",
     r"""
