@@ -11,6 +11,7 @@ from spectrafold.llm import (
     decontaminate,
     licenses,
     mixing,
+    neighbours,
     ngram_join,
     substrings,
     tokens,
@@ -136,6 +137,13 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained(docs, table(spark, folder, "benchmark"))
 
 
+@query("op4_neighbours")
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 @query("op5_mixing")
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rate of every document, and its share in each domain."""
