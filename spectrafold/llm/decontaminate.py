@@ -18,10 +18,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrafold.llm.frames import mapped
 from spectrafold.llm.words import ALNUM, batches, shingles, split
 
 WORDS = 5
@@ -87,43 +87,57 @@ def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, np.ndar
         yield block
 
 
-def contained(
-    docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK_SHINGLES
-) -> DataFrame:
-    """doc_id, item_id, n_item (distinct shingles), n_shared, containment of each find.
+def found(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``docs`` with ``items``: what each whole text contains (item_id, n_item, n_shared).
 
     Words are lower-case runs of ASCII letters and digits and of anything beyond ASCII. Items
     that are null or shorter than a shingle are never found, nor is anything in null or
-    shorter texts. Documents and items that repeat a row give a find for each document row
-    and each different item text. Other columns do not matter.
+    shorter texts. Items that repeat an id with another text are items of their own. A column
+    called items is replaced.
     """
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = spark.createDataFrame([], schema)
-    for items in blocks(benchmark, block):
-        index = spark.sparkContext.broadcast(ItemIndex(items, share))
-
-        def run(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+    added = "items array<struct<item_id:long,n_item:long,n_shared:long>>"
+    out, several = docs, []
+    for k, items in enumerate(blocks(benchmark, block)):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(items, share))
+
+        name = f"__items{k}"
+
+        def start(index=index, name=name):
             held = index.value
-            for frame in frames:
-                rows = []
-                for part in batches(frame["text"].tolist()):
-                    piece = frame.iloc[part]
-                    sets = shingles(split(piece["text"].tolist(), ALNUM), WORDS, whole=False)
-                    for doc_id, own in zip(piece["doc_id"], sets):
-                        for k, shared in held.find(own) if len(own) else ():
-                            n = len(held.sets[k])
-                            rows.append((doc_id, held.ids[k], n, shared, shared / n))
-                made = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
-
-        found = found.unionByName(text.mapInPandas(run, schema))
-    return found
+
+            def one(own: np.ndarray) -> list[dict]:
+                if not len(own):
+                    return []
+                return [
+                    {"item_id": held.ids[k], "n_item": len(held.sets[k]), "n_shared": shared}
+                    for k, shared in held.find(own)
+                ]
+
+            def compute(texts):
+                finds = []
+                for part in batches(texts):
+                    finds += [one(own) for own in shingles(split(texts[part], ALNUM), WORDS, whole=False)]
+                return {name: finds}
+
+            return compute
+
+        several.append(name)
+        out = mapped(out, added.replace("items", name, 1), start, ["text"])
+    empty = F.array().cast(added.split(" ", 1)[1])
+    return out.withColumn("items", F.concat(*several) if several else empty).drop(*several)
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """doc_id, item_id, n_item (distinct shingles), n_shared, containment: a row for each find."""
+    rows = found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, share)
+    return rows.select("doc_id", F.explode("items").alias("i")).select(
+        "doc_id", "i.item_id", "i.n_item", "i.n_shared", (F.col("i.n_shared") / F.col("i.n_item")).alias("containment")
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Documents that contain no item; their columns as they are."""
-    found = contained(docs, benchmark, share).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    own = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{k}") for k, c in enumerate(own)])
+    rows = found(plain, benchmark, share).filter(F.size("items") == 0)
+    return rows.select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(own)])

@@ -5,23 +5,31 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
-import spectrafold
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+import spectrafold
 from spectrafold.session import shared_folder
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder. Python gets it in batches of rows that fit with very long texts."""
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and have Python given small batches: texts may be very long."""
     if int(spark.conf.get(BATCH_ROWS)) > 500:
         spark.conf.set(BATCH_ROWS, "500")
     ship(spark)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    prepare(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -56,6 +64,30 @@ def extended(df: DataFrame, added: str) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name.lower() not in taken] + list(new))
 
 
+def mapped(
+    df: DataFrame, added: str, start: Callable[[], Callable[..., dict]], inputs: Sequence[str], drop: Sequence[str] = ()
+) -> DataFrame:
+    """``df`` with columns computed in Python from whole batches of ``inputs``.
+
+    ``start`` is called once a task and returns the function that is given the inputs as lists
+    and returns the added columns by name. Other columns pass untouched, whatever their type.
+    """
+    schema = extended(df.drop(*drop), added)
+    names = schema.names
+    types = {f.name: to_arrow_type(f.dataType) for f in T._parse_datatype_string(added)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for batch in batches:
+            made = compute(*(batch.column(c).to_pylist() for c in inputs))
+            arrays = [
+                pa.array(made[c], type=types[c]) if c in types else batch.column(c) for c in names
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)

@@ -11,15 +11,13 @@ One pass over the texts, no shuffle; the fixed notices travel with the function.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from spectrafold.llm.frames import extended
+from spectrafold.llm.frames import mapped
 from spectrafold.llm.words import ALNUM
 
 # Phrases whose places are counted, and their labels.
@@ -139,39 +137,36 @@ def scan(docs: DataFrame, text: str = "text", phrases=None, notices=NOTICES) ->
     score 0. Columns with one of these names are replaced.
     """
     phrases = PHRASES if phrases is None else phrases
-    schema = extended(
-        docs,
+    added = (
         "n_words long, n_base long, first_word long, last_word long, base_labels string, "
         "places array<struct<first:long,last:long,label:string,edits:int,score:double>>, "
-        "labels string, score double",
+        "labels string, score double"
     )
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "places", "labels", "score")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         scanner = Scanner(notices)
-        for frame in frames:
-            rows = []
-            for value in frame[text]:
-                line = normal(value)
-                base = phrase_places(line, phrases)
-                places = scanner.find(line)
-                at = [k for k, _ in base]
-                rows.append(
-                    (
-                        line.count(" ") + 1 if line else 0,
-                        len(base),
-                        min(at, default=None),
-                        max(at, default=None),
-                        ",".join(sorted({x for _, x in base})),
-                        [p.__dict__ for p in places],
-                        ",".join(sorted({x for _, x in base} | {p.label for p in places})),
-                        1.0 if base else max((p.score for p in places), default=0.0),
-                    )
-                )
-            names = schema.names[-8:]
-            made = pd.DataFrame(rows, columns=names, index=frame.index)
-            for name in ("first_word", "last_word"):
-                made[name] = made[name].astype("Int64")
-            rest = frame[[c for c in schema.names if c not in names]]
-            yield pd.concat([rest, made], axis=1)[schema.names]
-
-    return docs.mapInPandas(run, schema)
+
+        def one(value: str | None) -> tuple:
+            line = normal(value)
+            base = phrase_places(line, phrases)
+            places = scanner.find(line)
+            at = [k for k, _ in base]
+            return (
+                line.count(" ") + 1 if line else 0,
+                len(base),
+                min(at, default=None),
+                max(at, default=None),
+                ",".join(sorted({x for _, x in base})),
+                [p.__dict__ for p in places],
+                ",".join(sorted({x for _, x in base} | {p.label for p in places})),
+                1.0 if base else max((p.score for p in places), default=0.0),
+            )
+
+        def compute(texts):
+            rows = [one(t) for t in texts]
+            return {name: [r[k] for r in rows] for k, name in enumerate(names)}
+
+        return compute
+
+    return mapped(docs, added, start, [text])

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.frames import bounded_rows, stored
+from spectrafold.llm.frames import bounded_rows, mapped, stored
 from spectrafold.llm.words import ALNUM, batches, split
 
 # Domains of the labelled table and the share of tokens each should have.
@@ -47,36 +47,34 @@ def described(docs: DataFrame) -> DataFrame:
     Shares of hashed words (signed, BUCKETS of them), and rates of capitals, digits, marks,
     repetition and word length. A null or empty text is all zeros.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            counts, rows = [], []
-            for part in batches(frame["text"].tolist()):
-                texts = frame["text"].iloc[part].tolist()
-                words = split(texts, ALNUM)
-                bucket = (words.hash % np.uint64(BUCKETS)).astype(np.int64)
-                sign = np.where(words.hash >> np.uint64(63), 1.0, -1.0)
-                for text, (lo, hi) in zip(texts, words.texts()):
-                    n = hi - lo
-                    counts.append(n)
-                    row = np.zeros(BUCKETS + 6)
-                    if n:
-                        sums = np.bincount(bucket[lo:hi], sign[lo:hi], BUCKETS)
-                        raw = text.encode("utf-8", "surrogatepass")
-                        codes = np.frombuffer(raw, np.uint8)
-                        row[:BUCKETS] = sums / n
-                        row[BUCKETS:] = (
-                            ((codes >= 65) & (codes <= 90)).mean(),
-                            ((codes >= 48) & (codes <= 57)).mean(),
-                            np.isin(codes, (33, 63, 124)).mean(),
-                            len(np.unique(words.hash[lo:hi])) / n,
-                            len(raw) / n / 10,
-                            np.log1p(n) / 10,
-                        )
-                    rows.append(row.tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_tokens": counts, "features": rows})
+    def one(text: str, own: np.ndarray) -> np.ndarray:
+        row = np.zeros(BUCKETS + 6)
+        if n := len(own):
+            sign = np.where(own >> np.uint64(63), 1.0, -1.0)
+            raw = text.encode("utf-8", "surrogatepass")
+            codes = np.frombuffer(raw, np.uint8)
+            row[:BUCKETS] = np.bincount((own % np.uint64(BUCKETS)).astype(np.int64), sign, BUCKETS) / n
+            row[BUCKETS:] = (
+                ((codes >= 65) & (codes <= 90)).mean(),
+                ((codes >= 48) & (codes <= 57)).mean(),
+                np.isin(codes, (33, 63, 124)).mean(),
+                len(np.unique(own)) / n,
+                len(raw) / n / 10,
+                np.log1p(n) / 10,
+            )
+        return row
+
+    def compute(texts):
+        counts, rows = [], []
+        for part in batches(texts):
+            words = split(texts[part], ALNUM)
+            for text, (lo, hi) in zip(texts[part], words.texts()):
+                counts.append(hi - lo)
+                rows.append(one(text, words.hash[lo:hi]))
+        return {"n_tokens": counts, "features": rows}
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.mapInPandas(run, "doc_id long, n_tokens long, features array<double>")
+    return mapped(text, "n_tokens long, features array<double>", lambda: compute, ["text"], drop=["text"])
 
 
 def fit(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> LogisticRegressionModel | int | None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.frames import stored
+from spectrafold.llm.frames import mapped, stored
 from spectrafold.llm.graphs import components
 from spectrafold.llm.words import LOWER, batches, mix, shingles, signed, split
 
@@ -122,26 +122,25 @@ def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, b
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Each row's number of shingles, key of the whole set (null without any), and index keys."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in batches(frame["text"].tolist()):
-                piece = frame.iloc[part]
-                rows = []
-                for own in shingles(split(piece["text"].tolist(), LOWER), words):
-                    if not len(own):
-                        rows.append((0, None, [], [], False))
-                        continue
-                    found, empty, short = keys(own, num, den)
-                    whole = xxhash.xxh3_128_digest(own.tobytes())
-                    rows.append((len(own), whole, signed(found), signed(empty), short))
-                made = pd.DataFrame(rows, columns=["n_shingles", "whole", "keys", "empty", "short"])
-                made.insert(0, "doc_id", piece["doc_id"].astype("Int64").to_numpy())
-                yield made
+    if den * 13 > num * 17:
+        raise ValueError("similarities below 13/17 need wider bands")
+
+    def one(own: np.ndarray) -> tuple:
+        if not len(own):
+            return 0, None, [], [], False
+        found, empty, short = keys(own, num, den)
+        return len(own), xxhash.xxh3_128_digest(own.tobytes()), signed(found), signed(empty), bool(short)
+
+    def compute(texts):
+        rows = []
+        for part in batches(texts):
+            rows += [one(own) for own in shingles(split(texts[part], LOWER), words)]
+        names = ("n_shingles", "whole", "keys", "empty", "short")
+        return {name: [r[k] for r in rows] for k, name in enumerate(names)}
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.mapInPandas(
-        run, "doc_id long, n_shingles long, whole binary, keys array<long>, empty array<long>, short boolean"
-    )
+    added = "n_shingles long, whole binary, keys array<long>, empty array<long>, short boolean"
+    return mapped(text, added, lambda: compute, ["text"], drop=["text"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.frames import stored
+from spectrafold.llm.frames import mapped, stored
 from spectrafold.llm.words import PLAIN, Words, batches, intervals, sequences, signed, split
 
 LENGTH = 50
@@ -151,27 +151,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def described(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """Of each document the number of words, their digest, and its anchors."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in batches(frame["text"].tolist()):
-                piece = frame.iloc[part]
-                words = split(piece["text"].tolist(), PLAIN)
-                at, h = anchors(words, length, gram)
-                cut = np.searchsorted(at, words.first)
-                rows = []
-                for k, (lo, hi) in enumerate(words.texts()):
-                    own = slice(cut[k], cut[k + 1])
-                    digest = hashlib.sha256(words.joined(lo, hi)).hexdigest()
-                    rows.append((hi - lo, digest, signed(h[own]), (at[own] - lo).astype(np.int32)))
-                made = pd.DataFrame(rows, columns=["n_words", "digest", "grams", "places"])
-                made.insert(0, "doc_id", piece["doc_id"].astype("Int64").to_numpy())
-                made.insert(1, "version", piece["version"].to_numpy())
-                yield made
-
-    return keyed.mapInPandas(
-        run,
-        "doc_id long, version long, n_words long, digest string, grams array<long>, places array<int>",
-    )
+    def compute(texts):
+        made = {"n_words": [], "digest": [], "grams": [], "places": []}
+        for part in batches(texts):
+            words = split(texts[part], PLAIN)
+            at, h = anchors(words, length, gram)
+            cut = np.searchsorted(at, words.first)
+            for k, (lo, hi) in enumerate(words.texts()):
+                own = slice(cut[k], cut[k + 1])
+                made["n_words"].append(hi - lo)
+                made["digest"].append(hashlib.sha256(words.joined(lo, hi)).hexdigest())
+                made["grams"].append(signed(h[own]))
+                made["places"].append((at[own] - lo).astype(np.int32))
+        return made
+
+    added = "n_words long, digest string, grams array<long>, places array<int>"
+    return mapped(keyed, added, lambda: compute, ["text"], drop=["text"])
 
 
 # What one document sends to shards: around each place, to the shard of its reference.

@@ -20,13 +20,10 @@ reaches ``max_nodes``, which bounds memory and changes no count.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from spectrafold.llm.frames import extended
+from spectrafold.llm.frames import mapped
 from spectrafold.llm.words import PLAIN
 
 MARK = "▁"
@@ -120,24 +117,21 @@ def count_tokens(
     Words are divided by white space. A null or empty text has 0 of both. Columns with these
     names are replaced; rows are neither added nor lost.
     """
-    schema = extended(docs, "n_words long, n_tokens long")
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         trie = Trie(pieces.value, max_nodes)
-        for frame in frames:
-            words, sizes = [], []
-            for value in frame[text]:
-                own = (value or "").encode("utf-8", "surrogatepass").translate(PLAIN).split()
-                words.append(own)
-                sizes.append(len(own))
+
+        def compute(texts):
+            words = [(t or "").encode("utf-8", "surrogatepass").translate(PLAIN).split() for t in texts]
             # Sorted, so that neighbours share their prefix.
             distinct = sorted({w for own in words for w in own})
-            held = {
-                w: trie.count(MARK + w.decode("utf-8", "surrogatepass")) for w in distinct
+            held = {w: trie.count(MARK + w.decode("utf-8", "surrogatepass")) for w in distinct}
+            return {
+                "n_words": [len(own) for own in words],
+                "n_tokens": [sum(map(held.__getitem__, own)) for own in words],
             }
-            total = [sum(map(held.__getitem__, own)) for own in words]
-            frame = frame.assign(n_words=np.array(sizes, np.int64), n_tokens=np.array(total, np.int64))
-            yield frame[schema.names]
 
-    return docs.mapInPandas(run, schema)
+        return compute
+
+    return mapped(docs, "n_words long, n_tokens long", start, [text])

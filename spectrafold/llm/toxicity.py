@@ -15,18 +15,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.frames import bounded_rows, extended, stored
+from spectrafold.llm.frames import bounded_rows, mapped, stored
 from spectrafold.llm.words import ALNUM
 
 MAX_ROWS = 20_000
@@ -94,18 +91,14 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     ]
 
 
-def featured(df: DataFrame, lexicon: dict[bytes, float], text: str = "text") -> DataFrame:
-    """``df`` with an array of the features in place of the text."""
+def featured(df: DataFrame, lexicon: dict[bytes, float], text: str = "text", keep: bool = False) -> DataFrame:
+    """``df`` with an array of the features, in place of the text unless that is kept."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_LEXICON words
-    schema = extended(df.drop(text), "features array<double>")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [features(t, shared.value) for t in frame[text]]
-            frame = frame.assign(features=pd.Series(made, index=frame.index, dtype=object))
-            yield frame[schema.names]
+    def start():
+        return lambda texts: {"features": [features(t, shared.value) for t in texts]}
 
-    return df.mapInPandas(run, schema)
+    return mapped(df, "features array<double>", start, [text], drop=() if keep else (text,))
 
 
 def learn_lexicon(sample: DataFrame, limit: int = MAX_LEXICON) -> dict[bytes, float]:
@@ -191,19 +184,24 @@ def _margin() -> Column:
     return vector_to_array("rawPrediction")[1].alias("margin")
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with score (0 to 1) and predicted (1 from THRESHOLD on).
+def score(docs: DataFrame, model: Model, text: str = "text", keep: bool = False) -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 from THRESHOLD on), and its text if kept.
 
-    Only the text enters the score; null and empty texts are scored like any other.
+    Only the text enters the score; null and empty texts are scored like any other. Columns
+    that are already called score or predicted are replaced, others keep their names.
     """
+    left = [c for c in docs.columns if c.lower() not in ("score", "predicted") and (keep or c != text)]
+    plain = {c: f"c{k}" for k, c in enumerate(dict.fromkeys([*left, text]))}  # no name clashes with the learners'
+    rows = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()])
     if model.trees is None:
-        rows = docs.drop(text).withColumn("score", F.lit(model.prior))
+        rows = rows.withColumn("score", F.lit(model.prior))
     else:
-        rest = [c for c in docs.columns if c.lower() not in (text, "score", "predicted", "features")]
-        rows = featured(docs.select(*rest, text), model.lexicon, text)
-        rows = rows.withColumn("vector", array_to_vector("features"))
-        rows = model.trees.transform(rows).select(*rest, _margin())
+        rows = featured(rows, model.lexicon, plain[text], keep).withColumn("vector", array_to_vector("features"))
+        held = [plain[c] for c in left]
+        rows = model.trees.transform(rows).select(*held, _margin())
         rows = model.calibration.transform(rows).select(
-            *rest, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score")
+            *held, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("score")
         )
-    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.select(
+        *[F.col(plain[c]).alias(c) for c in left], "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )

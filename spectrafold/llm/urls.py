@@ -15,15 +15,13 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from spectrafold.llm.frames import extended, offered
+from spectrafold.llm.frames import mapped, offered
 
 MAX_RULES = 10_000_000
 VERDICTS = ("allow", "block")
@@ -141,12 +139,12 @@ def judge(
     empty list gives ``default`` throughout; repeated rows are judged alike.
     """
     name = publish(rules, max_rules)
-    schema = extended(pages, "host string, path string, rule string, verdict string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         listed = DigestArray(SparkFiles.get(name))
-        for frame in frames:
-            split = [parts(u) for u in frame[url]]
+
+        def compute(given):
+            split = [parts(u) for u in given]
             owner, keys = [], []
             for k, (host, path) in enumerate(split):
                 for key in _candidates(host, path, listed):
@@ -157,10 +155,10 @@ def judge(
             for k, key, said in zip(owner, keys, listed.find(keys)):
                 if said is not None and rule[k] is None:
                     rule[k], verdict[k] = key, said
-            frame = frame.assign(
-                host=[h for h, _ in split], path=[p for _, p in split], verdict=verdict
-            )
-            frame["rule"] = pd.Series(rule, index=frame.index, dtype=object)
-            yield frame[schema.names]
+            return {
+                "host": [h for h, _ in split], "path": [p for _, p in split], "rule": rule, "verdict": verdict,
+            }
+
+        return compute
 
-    return pages.mapInPandas(run, schema)
+    return mapped(pages, "host string, path string, rule string, verdict string", start, [url])
