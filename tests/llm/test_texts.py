@@ -28,11 +28,22 @@ def test_ngram_join(docs, rows, n, num, den):
     assert got == brute.components(rows, n, num, den)
 
 
-def test_ngram_join_large_keys(spark, docs, rows, monkeypatch):
-    """Keys of more than two members take the way of large ones."""
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
-    got = {r[0]: (r[1], r[2]) for r in ngram_join.report(docs).collect()}
-    assert got == brute.components(rows)
+def test_groups_of_many_near_copies(spark):
+    """Copies of one text with more or fewer edits: some link with it, some only with each other."""
+    rng = random.Random(7)
+    base = data.prose(rng, 200)
+    rows = []
+    for k in range(90):
+        edits = rng.choice((0, 1, 2, 4, 5, 6, 8, 12))
+        copy = list(base)
+        for at in rng.sample(range(200), edits):
+            copy[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(copy)))
+        if k % 9 == 0:
+            rows.append((1000 + k, " ".join(copy[:-1])))
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.report(data.frame(spark, rows)).collect()}
+    want = brute.components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 5
 
 
 def test_short_sets_are_found(spark, monkeypatch):
