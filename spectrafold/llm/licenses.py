@@ -92,7 +92,7 @@ class Scanner:
         if by_piece:
             self.seeds.make_automaton()
         self.match = [
-            regex.compile(rf"(?be)\b(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}(?!\w)")
+            regex.compile(rf"(?e)\b(?:{regex.escape(n, literal_spaces=True)}){{e<={e}}}(?!\w)")
             for n, _, e in notices
         ]
 

@@ -46,7 +46,8 @@ _LETTERS = _UPPER + bytes(range(97, 123))
 _DIGITS = bytes(range(48, 58))
 _MARKS = b"!?"
 _PUNCT = bytes(c for c in range(33, 127) if not bytes([c]).isalnum())
-_SIGNS = re.compile(rb"[a-z]+(?:[0-9@$!|*._-]+[a-z]+)+")
+# Possessive, and begun only where a run begins: linear in very long words too.
+_SIGNS = re.compile(rb"(?<![a-z])[a-z]++(?:[0-9@$!|*._-]++[a-z]++)++")
 _SPACED = re.compile(rb"(?<![a-z])(?:[a-z][ .*_-]){3,}[a-z](?![a-z])")
 _LEET = bytes.maketrans("".join(LEET).encode(), "".join(LEET.values()).encode())
 FEATURES = (
