@@ -7,10 +7,10 @@ rate r_d >= 0 such that the expected tokens of each domain meet its target:
     minimise  sum_k (sum_d r_d t_d p_dk - T_k)^2   over  r >= 0
 
 by projected gradient, the squares weighted by the inverse of the small matrix
-G = sum_d t_d p_d p_d' so that domains of little mass move as fast. In the metric that counts a
-document by its tokens the gradient for r_d is <p_d, G^-1 residual>, its Lipschitz constant is
-1, and so is the step size. One iteration is one aggregate over the
-compact table (tokens, posteriors): a task folds the residuals so far into its documents'
+G = sum_d t_d p_d p_d' over the documents whose rate is above 0, so that domains of little mass
+move as fast. In the metric that counts a document by its tokens the gradient for r_d is
+<p_d, G^-1 residual>; the step size is 1, halved while the residual would grow. One iteration
+is one aggregate over the compact table (tokens, posteriors): a task folds the residuals so far into its documents'
 rates, projects after each, and sends back one number per domain. The driver sees only those.
 """
 
@@ -127,15 +127,16 @@ def _shares(frame: pd.DataFrame) -> np.ndarray:
 
 
 def totals(rows: DataFrame, start: float, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at the rates after ``steps``, and sum of t p p'."""
+    """Expected tokens of each domain at the rates after ``steps``, and sum of t p p' where rates are above 0."""
     k = len(TARGETS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mass, gram = np.zeros(k), np.zeros((k, k))
         for frame in frames:
             p, t = _shares(frame), frame["n_tokens"].to_numpy(float)
-            mass += (t * _fold(p, start, steps)) @ p
-            gram += (p * t[:, None]).T @ p
+            rate = _fold(p, start, steps)
+            mass += (t * rate) @ p
+            gram += (p * (t * (rate > 0))[:, None]).T @ p
         yield pd.DataFrame({"at": np.arange(k + k * k), "value": np.concatenate([mass, gram.ravel()])})
 
     sums = (
@@ -166,13 +167,22 @@ def rates(
     if mass.sum() > 0:
         start = float(goal.sum() / mass.sum())
         mass = mass * start
-        scale = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+        step = None
         for _ in range(iterations):
-            residual = mass - goal
-            if np.abs(residual).max() <= TOLERANCE * goal.sum():
+            left = np.linalg.norm(mass - goal)
+            if step is None:
+                if left <= TOLERANCE * goal.sum():
+                    break
+                step = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (mass - goal)
+            after, active = totals(rows, start, [*steps, step])
+            gain = left - np.linalg.norm(after - goal)
+            if gain < 0:
+                step = step / 2
+                continue
+            steps.append(step)
+            mass, gram, step = after, active, None
+            if gain <= TOLERANCE * goal.sum():
                 break
-            steps.append(scale @ residual)
-            mass, _ = totals(rows, start, steps)
     final = list(steps)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
