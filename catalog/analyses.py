@@ -24,7 +24,12 @@ def fu(t, keep=None):
     return spectra.fluorescence(t.fu, FL_ORDER, t.factorial, keep)
 
 
-def au(t, keep=None, start=None):
+def au(t, keep=None):
+    """Factorial absorbance: saturated points stay, as only the pooled series drops them."""
+    return spectra.absorbance(t.au, AB_ORDER, t.factorial, keep, saturation=False)
+
+
+def au_pooled(t, keep=None, start=None):
     return spectra.absorbance(t.au, AB_ORDER, t.factorial, keep, start=start)
 
 
@@ -62,7 +67,7 @@ def _(t):
 
 def pooled(t, kind):
     keep = spectra.sample_is(kind, "ref")
-    return fu(t, keep), au(t, keep, start=220), t.factorial, kind
+    return fu(t, keep), au_pooled(t, keep, start=220), t.factorial, kind
 
 
 @entry("C6_pooled_yields", "SELECT file, label, integral, ref_integral, qy FROM yield_au2",
@@ -202,7 +207,7 @@ def _summary(source: str, by: str, k: int) -> str:
 
 def _response(t):
     design = settle(factorial_design(t), "design")
-    grid = yields.response_grid(t.spark, design)
+    grid = yields.response_grid(t.spark, design, levels={"Au_level": [1.0]})
     # Rounded as in the check, so that points with equal predictions tie in both engines.
     return grid.withColumns({c: F.round(c, 9) for c in ("yellow", "qy", "target")})
 
@@ -290,7 +295,7 @@ def _(t):
     return quenching.quenched_spectra(all_fu(t), t.dose)
 
 
-@entry("C14_dose_response", "SELECT * FROM dose_resp", "c_Hg sd integral ref rel_integral rel_sd", 5)
+@entry("C14_dose_response", "SELECT * FROM dose_resp", "c_Hg@12 sd integral ref rel_integral rel_sd", 5)
 def _(t):
     return quenching.dose_response(all_fu(t), t.dose)
 
@@ -423,7 +428,8 @@ for number, z in (("F7_yield_response", "qy"), ("F8_ratio_response", "yellow"),
     @entry(number, _panels(z), "Au_level AMP_level N3_level z", 5)
     def _(t, z=z):
         design = settle(factorial_design(t), "design")
-        return figures.response_panels(yields.response_grid(t.spark, design), z)
+        levels = {"Citr_level": figures.PANEL_LEVELS, "NaH_level": figures.PANEL_LEVELS}
+        return figures.response_panels(yields.response_grid(t.spark, design, levels=levels), z)
 
 
 @entry("F10_pooled_yields", "SELECT NaH_ratio, AMP_ratio, Citr_ratio, qy * 100 AS qy_percent FROM"
@@ -490,14 +496,14 @@ def _(t):
 
 
 @entry("F15_dose_points", "SELECT c_Hg, log10(nullif(c_Hg, 0)) AS log_c, sample, pH, rel_integral"
-       " FROM dose_resp WHERE c_Hg <> 0", "c_Hg log_c rel_integral")
+       " FROM dose_resp WHERE c_Hg <> 0", "c_Hg@12 log_c rel_integral")
 def _(t):
     rows = figures.dose_points(quenching.dose_response(all_fu(t), t.dose))
     return rows.select("c_Hg", "log_c", "sample", "pH", "rel_integral")
 
 
 @entry("F16_quenching_points", "SELECT c_Hg, sample, pH, 1 / nullif(rel_integral, 0) - 1 AS quenching"
-       " FROM dose_resp WHERE c_Hg < 1e-4", "c_Hg quenching")
+       " FROM dose_resp WHERE c_Hg < 1e-4", "c_Hg@12 quenching")
 def _(t):
     rows = figures.quenching_points(quenching.dose_response(all_fu(t), t.dose))
     return rows.select("c_Hg", "sample", "pH", "quenching")

@@ -300,7 +300,7 @@ def _(t):
 
 
 @entry("A10_replicate_spread", "SELECT c_Hg, sample, pH, sd, integral FROM dose_spread",
-       "c_Hg sd integral", 4)
+       "c_Hg@12 sd integral", 4)
 def _(t):
     sums = agg.raw_integral(spectra.fluorescence(t.fu, FL_ORDER), ["file"], lo=400)
     rows = joins.attach_samples(sums, dose_sheet(t.dose))
@@ -389,7 +389,7 @@ def _(t):
 
 
 @entry("W6_reference_ratio", "SELECT c_Hg, sample, pH, rel_integral, rel_sd FROM dose_resp",
-       "c_Hg rel_integral rel_sd")
+       "c_Hg@12 rel_integral rel_sd")
 def _(t):
     response = dose_response(spectra.fluorescence(t.fu, FL_ORDER), t.dose)
     return response.select("c_Hg", "sample", "pH", "rel_integral", "rel_sd")
@@ -550,7 +550,7 @@ def _(t):
 
 
 @entry("X12_quenching_transform", "SELECT c_Hg, sample, pH, 1 / nullif(rel_integral, 0) - 1 AS"
-       " quenching, log10(nullif(c_Hg, 0)) AS log_c FROM dose_resp", "c_Hg quenching log_c")
+       " quenching, log10(nullif(c_Hg, 0)) AS log_c FROM dose_resp", "c_Hg@12 quenching log_c")
 def _(t):
     rows = quenching(dose_response(spectra.fluorescence(t.fu, FL_ORDER), t.dose))
     return rows.select("c_Hg", "sample", "pH", "quenching", "log_c")

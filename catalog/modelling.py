@@ -103,15 +103,15 @@ block("grid_scored", f"""
       + {_coefficient('b')} * b + {_coefficient('a:c')} * a * c AS z FROM grid""")
 
 
-def _grid(t):
+def _grid(t, levels=None):
     coefs = models.ols(t.runs, "y", TERMS)
-    return models.score(design.level_grid(t.spark, MAINS), coefs, _SCORED, "z")
+    return models.score(design.level_grid(t.spark, MAINS, levels=levels), coefs, _SCORED, "z")
 
 
 @entry("M7_response_slice", "SELECT a, b, c, z FROM grid_scored WHERE round(c, 6) IN (-1, 0, 1)",
        "a b c z")
 def _(t):
-    return _grid(t).where(F.col("c").isin(-1.0, 0.0, 1.0))
+    return _grid(t, {"c": [-1.0, 0.0, 1.0]})
 
 
 @entry("M8_response_bands", """

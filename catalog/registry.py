@@ -18,18 +18,20 @@ Plan = Callable[[Tables], DataFrame]
 class Entry:
     plan: Plan
     select: str | None
-    doubles: tuple[str, ...]
-    digits: int
+    digits: dict[str, int]
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.plan(Tables(spark, folder))
-        nudge = F.lit(float(f"{sql.NUDGE}e-{self.digits + 2}"))
-        return df.withColumns({c: F.round(F.col(f"`{c}`") + nudge, self.digits) for c in self.doubles})
+        def rounded(column: str, digits: int):
+            nudge = F.lit(float(f"{sql.NUDGE}e-{digits + 2}"))
+            return F.round(F.col(f"`{column}`") + nudge, digits)
+
+        return df.withColumns({c: rounded(c, digits) for c, digits in self.digits.items()})
 
     def check(self) -> str | None:
         if self.select is None:
             return None
-        return sql.with_blocks(sql.rounded(self.select, self.doubles, self.digits))
+        return sql.with_blocks(sql.rounded(self.select, self.digits))
 
 
 ENTRIES: dict[str, Entry] = {}
@@ -38,14 +40,18 @@ ENTRIES: dict[str, Entry] = {}
 def entry(
     name: str, select: str | None, doubles: Sequence[str] | str = (), digits: int = 6
 ) -> Callable[[Plan], Plan]:
-    """Register the decorated plan; ``doubles`` are rounded on both sides."""
+    """Register the decorated plan; ``doubles`` are rounded on both sides, so that the comparison holds.
+
+    ``name@12`` gives one column digits of its own: keys must not lose what tells them apart.
+    """
     if isinstance(doubles, str):
         doubles = doubles.split()
+    own = {c.partition("@")[0]: int(c.partition("@")[2] or digits) for c in doubles}
 
     def register(plan: Plan) -> Plan:
         if name in ENTRIES:
             raise ValueError(f"{name} is registered twice")
-        ENTRIES[name] = Entry(plan, select, tuple(doubles), digits)
+        ENTRIES[name] = Entry(plan, select, own)
         return plan
 
     return register

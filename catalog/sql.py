@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from catalog.views import AB_ORDER, FL_ORDER, VIEWS, view_sql
@@ -40,11 +40,11 @@ def with_blocks(select: str) -> str:
 NUDGE = "1.23456789012"
 
 
-def rounded(select: str, columns: Sequence[str], digits: int) -> str:
+def rounded(select: str, digits: Mapping[str, int]) -> str:
     """The nudge keeps exact ties from falling to either side in the two engines."""
-    if not columns:
+    if not digits:
         return select
-    nudged = ", ".join(f'round("{c}" + {NUDGE}e-{digits + 2}, {digits}) AS "{c}"' for c in columns)
+    nudged = ", ".join(f'round("{c}" + {NUDGE}e-{d + 2}, {d}) AS "{c}"' for c, d in digits.items())
     return f"SELECT * REPLACE ({nudged}) FROM ({select}) t"
 
 
@@ -93,8 +93,8 @@ _ABSORBANCE = "absorbance <= 1.9 AND wavelength <= 900 AND (wavelength <= 650 OR
 for letter in "lup":
     block(f"f{letter}x", f"SELECT * FROM f{letter}c WHERE wavelength >= 200 AND wavelength <= 900")
 block("abx", f"SELECT * FROM abc WHERE {_ABSORBANCE}")
-block("aux", f"SELECT * FROM auc WHERE {_ABSORBANCE}")
-block("auy", "SELECT * FROM aux WHERE wavelength >= 220")
+block("aux", f"SELECT * FROM auc WHERE {_ABSORBANCE.removeprefix('absorbance <= 1.9 AND ')}")
+block("auy", f"SELECT * FROM auc WHERE {_ABSORBANCE} AND wavelength >= 220")
 block("apx", f"SELECT * FROM apc WHERE {_ABSORBANCE}")
 for source in ("abx", "aux", "auy", "apx"):
     block(f"{source}365", f"SELECT file, median(absorbance) AS absorbance FROM {source}"

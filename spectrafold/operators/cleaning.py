@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spectrafold.functions.numeric import med3, median_of
 from spectrafold.functions.strict import strict_avg_where
 from spectrafold.operators.heavy import heavy_groups, only_heavy, without_heavy
+from spectrafold.operators.joins import left_join_null_safe
 
 SLICE_ROWS = 2_000_000
 
@@ -31,7 +32,7 @@ def baseline_correct(
     inside = (F.col("wavelength") > lo) & (F.col("wavelength") < hi)
     offsets = df.groupBy(key).agg(strict_avg_where(inside, F.col(signal)).alias("_offset"))
     return (
-        df.join(offsets, key, "left")
+        left_join_null_safe(df, offsets, [key])
         .withColumn(signal, F.col(signal) - F.col("_offset"))
         .select(*df.columns)
     )

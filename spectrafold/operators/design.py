@@ -55,19 +55,23 @@ def level_grid(
     lo: float = -1.0,
     hi: float = 1.0,
     step: float = 0.05,
+    levels: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """Every combination of the levels ``lo, lo + step, .., hi``; the first name runs fastest.
 
-    The levels are decoded from a row number, so the grid is generated in parallel and a
-    filter on a level is applied as the rows are made.
+    The levels are decoded from a row number, so the grid is generated in parallel. ``levels``
+    keeps only those of a name that are listed (levels of the grid); no other row is made.
     """
     count = round((hi - lo) / step) + 1
-    rows = spark.range(count ** len(names))
-    levels = []
-    for i, name in enumerate(names):
-        place = F.expr(f"pmod(id div {count**i}, {count})")
-        levels.append((F.lit(float(lo)) + place * F.lit(float(step))).alias(name))
-    return rows.select(*levels)
+    size, columns = 1, []
+    for name in names:
+        wanted = [round((v - lo) / step) for v in (levels or {}).get(name, ())] or list(range(count))
+        place = F.expr(f"pmod(id div {size}, {len(wanted)})")
+        if len(wanted) < count:
+            place = F.array(*[F.lit(w) for w in wanted])[place.cast("int")]
+        columns.append((F.lit(float(lo)) + place * F.lit(float(step))).alias(name))
+        size *= len(wanted)
+    return spark.range(size).select(*columns)
 
 
 def two_way(factors: Sequence[str], drop: Sequence[str] = ()) -> list[str]:

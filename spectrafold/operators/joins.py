@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.functions.strict import safe_div, strict_max
+from spectrafold.functions.strict import safe_div, strict_avg, strict_max
+
 
 def one_row_per_key(sheet: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``sheet`` itself; the query fails if a key occurs twice."""
@@ -70,7 +71,7 @@ def normalize_to_reference(
     for column, label in (relabel or {}).items():
         refs = refs.withColumn(column, F.lit(label))
     if many == "mean":
-        picked = F.avg(value)
+        picked = strict_avg(value)
     else:
         picked = F.when(
             F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one reference per key"))

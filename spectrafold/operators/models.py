@@ -1,8 +1,9 @@
 """Linear models from one distributed aggregate.
 
-Every model needs only the sums of products of its terms and response. They are taken in
-one pre-aggregated pass over the rows, whatever their number; what is left is one row per
-group with at most a few hundred numbers, solved in place by ``mapInPandas``.
+Every model needs only the means and co-moments of its terms and response. Spark merges them
+stably (a large offset of a column cancels nothing), in one pre-aggregated pass over the rows,
+whatever their number; what is left is one row per group with at most a few hundred numbers,
+solved in place by ``mapInPandas``. The intercept follows from the means.
 """
 
 from __future__ import annotations
@@ -25,17 +26,14 @@ INTERCEPT = "(Intercept)"
 ALIAS_SHARE = 1e-10
 
 
-def gram(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Sums of products of the intercept, the terms and ``y``; rows with a NULL drop out."""
-    names = [f"_t{i}" for i in range(len(terms) + 2)]
-    values = [term_value(INTERCEPT), *[term_value(t) for t in terms], F.col(y).cast("double")]
+def moments(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Rows, means and co-moments of the terms and ``y``; rows with a NULL drop out."""
+    names = [f"_t{i}" for i in range(len(terms) + 1)]
+    values = [*[term_value(t) for t in terms], F.col(y).cast("double")]
     rows = df.select(*by, *[v.alias(n) for v, n in zip(values, names)]).dropna(subset=names)
-    products = [
-        F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0))
-        for i, a in enumerate(names)
-        for b in names[i:]
-    ]
-    return rows.groupBy(*by).agg(F.array(*products).alias("_gram"))
+    facts = [F.count(F.lit(1)).cast("double"), *[F.avg(n) for n in names]]
+    facts += [F.covar_pop(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return rows.groupBy(*by).agg(F.array(*[F.coalesce(f, F.lit(0.0)) for f in facts]).alias("_moments"))
 
 
 def _matrix(flat: Iterable[float], size: int) -> np.ndarray:
@@ -44,42 +42,52 @@ def _matrix(flat: Iterable[float], size: int) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
-def _independent(xx: np.ndarray, columns: Sequence[int]) -> list[int]:
-    """The columns that are not a combination of earlier ones."""
-    kept: list[int] = []
-    for j in columns:
-        left = xx[j, j]
-        if kept:
-            cross = xx[kept, j]
-            left -= cross @ np.linalg.solve(xx[np.ix_(kept, kept)], cross)
-        if left > ALIAS_SHARE * xx[j, j] and xx[j, j] > 0:
-            kept.append(j)
-    return kept
-
-
 class _Fit:
-    """Least squares on the columns of a Gram matrix whose last column is the response."""
-
-    def __init__(self, g: np.ndarray):
-        self.xx, self.xy, self.yy = g[:-1, :-1], g[:-1, -1], float(g[-1, -1])
-        self.n = int(round(g[0, 0]))
-        self.kept = _independent(self.xx, range(len(self.xx)))
+    """Least squares with an intercept. Column 0 is the intercept, column j the j-th term."""
+
+    def __init__(self, flat: Sequence[float], size: int):
+        self.n, self.mean = int(round(flat[0])), np.asarray(flat[1 : size + 1], dtype=float)
+        centred = _matrix(flat[size + 1 :], size) * self.n
+        self.xx, self.xy, self.yy = centred[:-1, :-1], centred[:-1, -1], float(centred[-1, -1])
+        everything = range(size)
+        self.kept = [0, *self._independent(everything)] if self.n else []
         self.df = self.n - len(self.kept)
-        block = self.xx[np.ix_(self.kept, self.kept)]
-        self.inverse = np.linalg.inv(block) if self.kept else np.zeros((0, 0))
-        self.coef = np.linalg.solve(block, self.xy[self.kept]) if self.kept else np.zeros(0)
-        self.rss = self.residual(range(len(self.xx)))
+        self.rss = self.residual(everything)
         self.ms = self.rss / self.df if self.df > 0 else math.nan
+        own = [j - 1 for j in self.kept[1:]]
+        block = self.xx[np.ix_(own, own)]
+        slopes = np.linalg.solve(block, self.xy[own]) if own else np.zeros(0)
+        inverse = np.linalg.inv(block) if own else np.zeros((0, 0))
+        at = self.mean[:-1][own]
+        if self.n:
+            self.coef = np.append(self.mean[-1] - at @ slopes, slopes)
+            self.variance = np.append(1.0 / self.n + at @ inverse @ at, np.diag(inverse))
+
+    def _independent(self, columns: Iterable[int]) -> list[int]:
+        """The terms that are not a combination of the intercept and earlier ones."""
+        kept: list[int] = []
+        for column in columns:
+            j = column - 1
+            if j < 0 or self.xx[j, j] <= 1e-18 * self.n * self.mean[j] ** 2:
+                continue
+            left = self.xx[j, j]
+            if kept:
+                cross = self.xx[kept, j]
+                left -= cross @ np.linalg.solve(self.xx[np.ix_(kept, kept)], cross)
+            if left > ALIAS_SHARE * self.xx[j, j]:
+                kept.append(j)
+        return [j + 1 for j in kept]
 
     def residual(self, columns: Iterable[int]) -> float:
-        kept = _independent(self.xx, list(columns))
+        """Residual sum of squares of the intercept and these columns."""
+        kept = [j - 1 for j in self._independent(columns)]
         if not kept:
             return self.yy
         b = np.linalg.solve(self.xx[np.ix_(kept, kept)], self.xy[kept])
         return max(self.yy - float(self.xy[kept] @ b), 0.0)
 
     def rank(self, columns: Iterable[int]) -> int:
-        return len(_independent(self.xx, list(columns)))
+        return len(self._independent(columns))
 
 
 def _known(value: float | None) -> float | None:
@@ -102,7 +110,7 @@ def _coefficients(fit: _Fit, terms: Sequence[str]) -> Iterator[tuple]:
             continue
         i = place[column]
         coef = float(fit.coef[i])
-        se = math.sqrt(fit.ms * fit.inverse[i, i]) if fit.df > 0 else math.nan
+        se = math.sqrt(fit.ms * fit.variance[i]) if fit.df > 0 else math.nan
         t = coef / se if se > 0 else math.nan
         yield term, coef, _known(se), _known(t), _tail_t(t, fit.df)
 
@@ -110,7 +118,7 @@ def _coefficients(fit: _Fit, terms: Sequence[str]) -> Iterator[tuple]:
 def _quality(fit: _Fit, terms: Sequence[str]) -> Iterator[tuple]:
     if not fit.kept:
         return
-    total = fit.yy - float(fit.xy[0]) ** 2 / fit.n
+    total = fit.yy
     model_df = len(fit.kept) - 1
     r2 = 1.0 - fit.rss / total if total > 0 else math.nan
     adjusted = 1.0 - (1.0 - r2) * (fit.n - 1) / fit.df if fit.df > 0 else math.nan
@@ -141,7 +149,7 @@ def _type_two(fit: _Fit, terms: Sequence[str]) -> Iterator[tuple]:
 def _solve(
     df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str], report, columns: str
 ) -> DataFrame:
-    sums = gram(df, y, terms, by)
+    sums = moments(df, y, terms, by)
     out = T.StructType([sums.schema[k] for k in by] + T._parse_datatype_string(columns).fields)
     names, terms, by = out.names, list(terms), list(by)
 
@@ -149,7 +157,7 @@ def _solve(
         for batch in batches:
             rows = []
             for record in batch.itertuples(index=False):
-                fit = _Fit(_matrix(record[-1], len(terms) + 2))
+                fit = _Fit(record[-1], len(terms) + 1)
                 rows += [(*record[:-1], *line) for line in report(fit, terms)]
             yield pd.DataFrame(rows, columns=names, dtype=object)
 

@@ -64,13 +64,16 @@ def without_azide(fl: DataFrame, ab: DataFrame, samples: DataFrame) -> DataFrame
     return rows.withColumn("panel", _titled(SODIUM, "NaH_level"))
 
 
+# The levels of citrate and sodium that have a panel.
+PANEL_LEVELS = [-1.0, 0.0, 1.0]
+
+
 def response_panels(grid: DataFrame, z: str) -> DataFrame:
     """Slices of the five-factor response at three levels of citrate and sodium, banded.
 
-    Every gold level is a copy of the same panel; all of them are kept, as in the grid.
+    All gold levels are kept, as in the grid.
     """
-    levels = [-1.0, 0.0, 1.0]
-    rows = grid.where(F.col("Citr_level").isin(levels) & F.col("NaH_level").isin(levels))
+    rows = grid.where(F.col("Citr_level").isin(PANEL_LEVELS) & F.col("NaH_level").isin(PANEL_LEVELS))
     rows = band(rows, z)
     return rows.select(
         "Au_level", "AMP_level", "N3_level", F.col(z).alias("z"), "band",

@@ -6,6 +6,8 @@ are then joined to one row per spectrum.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,11 +159,17 @@ def _fitted(design: DataFrame, model: tuple[str, list[str], Column | None]) -> D
 
 
 def response_grid(
-    spark: SparkSession, design: DataFrame, step: float = GRID_STEP
+    spark: SparkSession,
+    design: DataFrame,
+    step: float = GRID_STEP,
+    levels: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
-    """Predicted band ratio, yield and target over all combinations of the five levels."""
+    """Predicted band ratio, yield and target over all combinations of the five levels.
+
+    ``levels`` restricts factors to some of their levels.
+    """
     models = factorial_models()
-    grid = level_grid(spark, FACTORS, step=step)
+    grid = level_grid(spark, FACTORS, step=step, levels=levels)
     grid = score(grid, _fitted(design, models["target"]), TARGET_TERMS, "yellow")
     grid = score(grid, _fitted(design, models["qy"]), YIELD_TERMS, "qy")
     target = gated_product(F.col("qy"), BRIGHT_PERCENT, F.col("yellow"))

@@ -35,3 +35,16 @@ def test_every_query_has_a_check():
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name, keys", [
+    ("A10_replicate_spread", ["c_Hg", "sample", "pH"]),
+    ("C14_dose_response", ["c_Hg", "sample", "pH"]),
+    ("W6_reference_ratio", ["c_Hg", "sample", "pH"]),
+    ("X12_quenching_transform", ["c_Hg", "sample", "pH"]),
+    ("F15_dose_points", ["c_Hg", "sample", "pH"]),
+    ("F16_quenching_points", ["c_Hg", "sample", "pH"]),
+])
+def test_keys_tell_rows_apart(spark, name, keys):
+    rows = contract.queries()[name](spark, LARGER).select(keys).collect()
+    assert len(set(rows)) == len(rows) > 0

@@ -125,3 +125,14 @@ def test_category_of_unknown_level(dual):
         text.category_rank(F.lit("mid"), ["low", "high"]).alias("d"),
     )
     assert tuple(row) == ("3.8", None, 2, None)
+
+
+@pytest.mark.parametrize("df", [1e9, 1e12, 1e13])
+def test_tails_of_very_many_degrees(df):
+    import math
+
+    from spectrafold.functions.tails import f_tail, t_tail
+
+    for t in (0.1, 1.0, 2.0, 4.0):
+        assert t_tail(t, df) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+    assert f_tail(3.0, 4.0, df) == pytest.approx(math.exp(-6) * 7, rel=1e-6)  # chi-square, 4 degrees

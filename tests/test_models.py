@@ -134,3 +134,23 @@ def test_local_regression_reproduces_a_parabola(spark):
     assert len(got) == 13
     for r in got:
         assert r.fitted == pytest.approx(1 + 2 * r.x - r.x**2)
+
+
+def test_large_offset_changes_nothing(spark):
+    """A response and a term far from 0 keep their digits."""
+    import random
+
+    from spectrafold.operators.models import anova_type2, ols, ols_summary
+
+    rng = random.Random(3)
+    rows = [(float(k % 7), rng.random()) for k in range(2000)]
+    near = spark.createDataFrame([(a, a + e) for a, e in rows], "a double, y double")
+    far = spark.createDataFrame([(a, 1e8 + a + e) for a, e in rows], "a double, y double")
+    moved = spark.createDataFrame([(1e6 + a, a + e) for a, e in rows], "a double, y double")
+    want = ols_summary(near, "y", ["a"]).first()
+    for other in (far, moved):
+        got = ols_summary(other, "y", ["a"]).first()
+        assert got.sigma == pytest.approx(want.sigma, rel=1e-6) and got.r2 == pytest.approx(want.r2, rel=1e-6)
+        slope = [r.coef for r in ols(other, "y", ["a"]).collect() if r.term == "a"][0]
+        assert slope == pytest.approx([r.coef for r in ols(near, "y", ["a"]).collect() if r.term == "a"][0], rel=1e-6)
+    assert anova_type2(far, "y", ["a"]).first().ss == pytest.approx(anova_type2(near, "y", ["a"]).first().ss, rel=1e-6)

@@ -128,3 +128,29 @@ def test_band_width_is_a_round_number(spark, hi, width):
 def test_constant_response_is_one_band(spark):
     df = spark.createDataFrame([(3.0,), (3.0,)], "z double")
     assert [r.band for r in design.band(df, "z").collect()] == [1, 1]
+
+
+def test_grid_of_some_levels(spark):
+    whole = design.level_grid(spark, ["a", "b", "c"])
+    some = design.level_grid(spark, ["a", "b", "c"], levels={"b": [-1.0, 0.0, 1.0], "c": [1.0]})
+    assert some.count() == 41 * 3
+    want = whole.where(F.col("b").isin(-1.0, 0.0, 1.0) & (F.col("c") == 1.0))
+    assert sorted(some.collect()) == sorted(want.collect())
+
+
+def test_unknown_key_keeps_its_baseline(spark):
+    from spectrafold.operators.cleaning import baseline_correct
+
+    rows = [(None, float(w), 5.0) for w in range(845, 905)]
+    df = spark.createDataFrame(rows, "file int, wavelength double, intensity double")
+    assert {r.intensity for r in baseline_correct(df, 850.0, 900.0).collect()} == {0.0}
+
+
+def test_saturated_absorbance_stays_where_it_should(spark):
+    from spectrafold.plans import spectra
+
+    rows = [(1, float(w), 2.5 if w < 400 else 0.1) for w in range(300, 900)]
+    df = spark.createDataFrame(rows, "file int, wavelength double, absorbance double")
+    near = F.abs(F.col("wavelength") - 365) <= 3
+    assert spectra.absorbance(df).where(near).count() == 0
+    assert spectra.absorbance(df, saturation=False).where(near).count() == 7
