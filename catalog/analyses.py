@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import entry
-from catalog.sql import block, least_squares, number_text
+from catalog.sql import block, least_squares, number_text, t_tail
 from catalog.views import AB_ORDER, FL_ORDER
 from spectrafold.operators.models import INTERCEPT, anova_type2, ols, ols_summary
 from spectrafold.plans import figures, mixing, quenching, spectra, yields
@@ -128,41 +128,52 @@ def yellow_design(t):
     return settle(design.withColumn("target_percent", 100 * F.col("target")), "yellow")
 
 
-@entry("C8_factorial_models", _all(_FACTORIAL, "m_", "term, coef, se, t"), "coef se t", 4)
+_COEFFICIENTS = f"term, coef, se, t, {t_tail('t', 'df')} AS p"
+
+
+@entry("C8_factorial_models", _all(_FACTORIAL, "m_", _COEFFICIENTS), "coef se t p", 4)
 def _(t):
     design = settle(factorial_design(t), "design")
-    return _models(t, design, yields.factorial_models(), ols).drop("p")
+    return _models(t, design, yields.factorial_models(), ols)
 
 
-_ANOVA = "term, ss, CAST(df AS BIGINT) AS df, ss / ms AS f"
-_RESIDUAL = "'Residuals' AS term, rss AS ss, CAST(df AS BIGINT) AS df, NULL::DOUBLE AS f"
+# A term has one degree of freedom, so its F is the square of a t.
+_ANOVA = f"term, ss, CAST(df AS BIGINT) AS df, ss / ms AS f, {t_tail('sqrt(ss / ms)', 'rdf')} AS p"
+_RESIDUAL = ("'Residuals' AS term, rss AS ss, CAST(df AS BIGINT) AS df, NULL::DOUBLE AS f,"
+             " NULL::DOUBLE AS p")
+_SUMMARY = ("CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, CAST(n - df - 1 AS BIGINT) AS model_df,"
+            " 1 - rss / (yy - sy * sy / n) AS r2,"
+            " 1 - rss / (yy - sy * sy / n) * (n - 1) / df AS adj_r2, sqrt(rss / df) AS sigma,"
+            " (yy - sy * sy / n - rss) / (n - df - 1) / (rss / df) AS f")
 
 
 @entry("C8_factorial_anova", _all(_FACTORIAL, "m_", _ANOVA, "_ss") + " UNION ALL "
-       + _all(_FACTORIAL, "m_", _RESIDUAL, "_fit"), "ss f", 4)
+       + _all(_FACTORIAL, "m_", _RESIDUAL, "_fit"), "ss f p", 4)
 def _(t):
     design = settle(factorial_design(t), "design")
-    return _models(t, design, yields.factorial_models(), anova_type2).drop("p")
+    return _models(t, design, yields.factorial_models(), anova_type2)
 
 
-@entry("C8_factorial_summaries", _all(_FACTORIAL, "m_", "CAST(n AS BIGINT) AS n, CAST(df AS BIGINT)"
-       " AS df, 1 - rss / (yy - sy * sy / n) AS r2, sqrt(rss / df) AS sigma", "_fit"),
-       "r2 sigma", 4)
+@entry("C8_factorial_summaries", _all(_FACTORIAL, "m_", _SUMMARY, "_fit"), "r2 adj_r2 sigma f", 4)
 def _(t):
     design = settle(factorial_design(t), "design")
-    rows = _models(t, design, yields.factorial_models(), ols_summary)
-    return rows.select("model", "n", "df", "r2", "sigma")
+    return _models(t, design, yields.factorial_models(), ols_summary).drop("p")
+
+
+@entry("C8_yellow_summaries", _all(_YELLOW, "m_yellow_", _SUMMARY, "_fit"), "r2 adj_r2 sigma f", 4)
+def _(t):
+    return _models(t, yellow_design(t), yields.yellow_models(), ols_summary).drop("p")
 
 
-@entry("C8_yellow_models", _all(_YELLOW, "m_yellow_", "term, coef, se, t"), "coef se t", 4)
+@entry("C8_yellow_models", _all(_YELLOW, "m_yellow_", _COEFFICIENTS), "coef se t p", 4)
 def _(t):
-    return _models(t, yellow_design(t), yields.yellow_models(), ols).drop("p")
+    return _models(t, yellow_design(t), yields.yellow_models(), ols)
 
 
 @entry("C8_yellow_anova", _all(_YELLOW, "m_yellow_", _ANOVA, "_ss") + " UNION ALL "
-       + _all(_YELLOW, "m_yellow_", _RESIDUAL, "_fit"), "ss f", 4)
+       + _all(_YELLOW, "m_yellow_", _RESIDUAL, "_fit"), "ss f p", 4)
 def _(t):
-    return _models(t, yellow_design(t), yields.yellow_models(), anova_type2).drop("p")
+    return _models(t, yellow_design(t), yields.yellow_models(), anova_type2)
 
 
 def _polynomial(model: str, terms: list[str]) -> str:

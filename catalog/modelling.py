@@ -26,9 +26,9 @@ def _(t):
     return design.design_matrix(t.runs, terms).select("seq", *MAINS, "`a:b`", "`b:c`")
 
 
-@entry("M2_ols", "SELECT term, coef, se, t FROM fit", "coef se t")
+@entry("M2_ols", f"SELECT term, coef, se, t, {t_tail('t', 'df')} AS p FROM fit", "coef se t p")
 def _(t):
-    return models.ols(t.runs, "y", TERMS).drop("p")
+    return models.ols(t.runs, "y", TERMS)
 
 
 @entry("M2_ols_by_group", "SELECT grp, term, coef, se, t FROM fit_by", "coef se t")
@@ -65,12 +65,12 @@ def _(t):
     return models.anova_type2(t.runs, "y", TERMS)
 
 
-@entry("M4_anova_type2_by_group", """
-    SELECT grp, term, ss, df::BIGINT AS df, ss / ms AS f FROM fit_by_ss
-    UNION ALL SELECT grp, 'Residuals', rss, CAST(df AS BIGINT), NULL FROM fit_by_fit""",
-       "ss f", 5)
+@entry("M4_anova_type2_by_group", f"""
+    SELECT grp, term, ss, df::BIGINT AS df, ss / ms AS f, {t_tail('sqrt(ss / ms)', 'rdf')} AS p FROM fit_by_ss
+    UNION ALL SELECT grp, 'Residuals', rss, CAST(df AS BIGINT), NULL, NULL FROM fit_by_fit""",
+       "ss f p", 5)
 def _(t):
-    return models.anova_type2(t.runs, "y", MAINS, by=["grp"]).drop("p")
+    return models.anova_type2(t.runs, "y", MAINS, by=["grp"])
 
 
 @entry("M5_row_subset_fit", "SELECT term, coef, se, t FROM fit_sub", "coef se t")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrafold.functions.strict import safe_div
-from spectrafold.functions.text import number_text
+from spectrafold.functions.text import na_text, number_text
 from spectrafold.operators.design import band
 from spectrafold.operators.filters import clip_wavelength, clip_xy, has_text
 from spectrafold.operators.joins import attach_samples, attach_signal
@@ -23,7 +23,7 @@ CITRATE = "<i>r</i><sub>citr</sub> = "
 
 
 def _titled(prefix: str, column: str) -> Column:
-    return F.concat(F.lit(prefix), number_text(F.col(column)))
+    return F.concat(F.lit(prefix), na_text(number_text(F.col(column))))
 
 
 def ratio_emission(fl: DataFrame, samples: DataFrame) -> DataFrame:

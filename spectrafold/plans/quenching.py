@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.numeric import round_half_even, signif
 from spectrafold.functions.strict import safe_div, strict_sum
-from spectrafold.functions.text import category
+from spectrafold.functions.text import category, na_text
 from spectrafold.operators.aggregates import raw_integral, replicate_median, replicate_spread
 from spectrafold.operators.filters import clip_wavelength
 from spectrafold.operators.joins import (
@@ -80,7 +80,7 @@ def quenched_spectra(fl: DataFrame, samples: DataFrame) -> DataFrame:
     groups = ["c_Hg", "sample", "pH"]
     medians = settle(replicate_median(rows, ["wavelength", *groups], "intensity"), "medians")
     scaled = normalize_to_max(medians, "intensity", groups)
-    return scaled.withColumn("pH", F.concat(F.lit("pH = "), category(F.col("pH"), PH_LABELS)))
+    return scaled.withColumn("pH", F.concat(F.lit("pH = "), na_text(category(F.col("pH"), PH_LABELS))))
 
 
 def _integrals(fl: DataFrame, sheet: DataFrame, columns: list[str]) -> DataFrame:
