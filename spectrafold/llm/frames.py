@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -95,6 +96,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished work, before the next step writes as much again.
+
+    It does so when the driver's garbage is collected, by itself every half hour at least.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_rows(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, those with the smallest hash of ``key``: alike on any layout."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(limit)

@@ -14,10 +14,11 @@ Those sets (``short``) are found by the keys of their empty segments as well, so
 
 Documents with equal sets are one representative from the start. Keys that only one
 representative has are dropped by a pre-aggregated count. Within a key, the representatives are
-compared with the smallest one; what is connected then needs no further comparison. Keys whose
-members are still in several components are finished exactly: small ones pair by pair between
-components, large ones after a prefix filter on rare shingles, and by further centres.
-Each candidate pair is verified on the shingle sets of the whole texts.
+compared with one centre (a document that shares fewer keys than every similar pair must is left
+out, and so are sizes too different); what is connected then needs no further comparison. The members of
+keys that still span several components are finished exactly: pairs between components that
+pass a positional prefix filter on rare shingles are compared too. So a key never makes all its
+pairs. Each candidate pair is verified on the shingle sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.frames import mapped, stored
+from spectrafold.llm.frames import mapped, release, stored
 from spectrafold.llm.graphs import components
 from spectrafold.llm.words import LOWER, batches, mix, shingles, signed, split
 
-SMALL = 32  # members of a key that are compared pair by pair
 WIDTH = 1.4  # ratio of a band's ends
 SHORT_COST = 1e6  # what a short set costs, in keys
+SPARE = 5  # keys a similar pair shares at least, where no segment has a neighbourhood
 
 
 def differing(n: int, num: int, den: int) -> int:
@@ -72,7 +73,9 @@ def allocation(k: int, num: int, den: int) -> tuple[int, int]:
     best = None
     for near in range(4):
         for m in range(max(most + 1, near), most + 2 + most // 4 + 6):
-            slack = m + near - (most + 1)
+            slack = m + near - (most + 1) - (0 if near else SPARE - 1)
+            if slack < 0:
+                continue
             empty = m * (1 - 1 / m) ** hi  # segments expected empty in the band's largest sets
             chance = [exp(-empty) * empty**i / factorial(i) for i in range(min(slack, 60) + 1)]
             # Short: more segments empty than there is slack, or as many and one with a neighbourhood.
@@ -83,12 +86,14 @@ def allocation(k: int, num: int, den: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Index keys of a set of shingle hashes, keys of its empty segments, and if it is short."""
+def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Index keys of a set of shingle hashes, keys of its empty segments, how many keys any similar
+    set that is not larger shares with it at least, and if it is short.
+    """
     n = len(own)
     at = band(n)
     spread = mix(own ^ np.uint64(0x5851F42D4C957F2D))
-    found, empty, short = [], [], False
+    found, empty, spare, short = [], [], 1, False
     for k in (at, at + 1):
         if k > at and den * n < num * band_start(k):
             continue  # too small for any partner there
@@ -112,11 +117,12 @@ def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, b
             weight += 1
         missing = np.setdiff1d(np.arange(m), held, assume_unique=True)
         if k == at:
-            short = weight <= differing(n, num, den)
             # A short set is sought among all sets that lack the same segment.
+            short = weight <= differing(n, num, den)
+            spare = max(1, weight - differing(n, num, den)) if near == 0 else 1
         empty.append(mix(name[missing] + np.uint64(1)))
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
-    return join(found), join(empty), short
+    return np.unique(join(found)), join(empty), spare, short
 
 
 def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -127,19 +133,22 @@ def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def one(own: np.ndarray) -> tuple:
         if not len(own):
-            return 0, None, [], [], False
-        found, empty, short = keys(own, num, den)
-        return len(own), xxhash.xxh3_128_digest(own.tobytes()), signed(found), signed(empty), bool(short)
+            return 0, None, 0, [], [], 1, False
+        found, empty, spare, short = keys(own, num, den)
+        whole = xxhash.xxh3_128_digest(own.tobytes())
+        return len(own), whole, band(len(own)), signed(found), signed(empty), int(spare), bool(short)
 
     def compute(texts):
         rows = []
         for part in batches(texts):
             rows += [one(own) for own in shingles(split(texts[part], LOWER), words)]
-        names = ("n_shingles", "whole", "keys", "empty", "short")
+        names = ("n_shingles", "whole", "band", "keys", "empty", "spare", "short")
         return {name: [r[k] for r in rows] for k, name in enumerate(names)}
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    added = "n_shingles long, whole binary, keys array<long>, empty array<long>, short boolean"
+    added = (
+        "n_shingles long, whole binary, band int, keys array<long>, empty array<long>, spare int, short boolean"
+    )
     return mapped(text, added, lambda: compute, ["text"], drop=["text"])
 
 
@@ -167,100 +176,129 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
     return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
 
 
-def _unfinished(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members (key, doc_id) of keys that span several components, with what is known of the key."""
-    held = members.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    per = (
-        held.groupBy("key")
-        .agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"),
-            F.min("doc_id").alias("centre"),
-        )
-        .filter("lo < hi")
-        .drop("lo", "hi")
-    )
-    return held.join(per, "key")
+def _stars(members: DataFrame) -> DataFrame:
+    """key, doc_id and centre of the members that are not their key's centre.
 
+    The centre is the member with the largest degree (members of all its keys): the text that
+    others were copied from, rather than one of the copies.
+    """
+    top = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("top"))
+    centres = stored(top.select("key", (-F.col("top.id")).alias("centre")), "join-centres")
+    return members.join(centres, "key").filter("doc_id != centre").select("key", "doc_id", "centre")
 
-def _rare(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Members regrouped by a prefix filter: two similar sets share one of their rarest shingles."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for part in batches(frame["text"].tolist()):
-                piece = frame.iloc[part]
-                sets = list(shingles(split(piece["text"].tolist(), LOWER), words))
-                yield pd.DataFrame(
-                    {"doc_id": piece["doc_id"].to_numpy(), "own": [signed(s) for s in sets]}
-                )
-
-    ids = members.select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id").select("doc_id", "text").mapInPandas(run, "doc_id long, own array<long>")
-    rows = stored(sets.select("doc_id", F.size("own").alias("n"), F.explode("own").alias("h")), "rare-shingles")
-    counted = rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
-    # One document's shingles, rarest first; the group is one document.
-    first = counted.groupBy("doc_id").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted")
+def _sized(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow them to be similar."""
+    size = reps.select("doc_id", "n_shingles")
+    first = size.withColumnsRenamed({"doc_id": "a", "n_shingles": "na"})
+    second = size.withColumnsRenamed({"doc_id": "b", "n_shingles": "nb"})
+    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+    return pairs.join(first, "a").join(second, "b").filter(fits).select("a", "b")
+
+
+def _unsettled(stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """Documents with a key whose members, the centre aside, are in several components."""
+    held = stars.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return stars.join(stored(several.select("key"), "join-open"), "key").select("doc_id").distinct()
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """key, doc_id, degree where several representatives have the key."""
+    rows = reps.select(F.explode("keys").alias("key"), "doc_id")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Stored first: a join of two plain inputs is one whose hot keys Spark can split.
+    sizes = stored(sizes, "join-keys")
+    release(rows.sparkSession)
+    rows = stored(rows.join(sizes, "key"), "join-members")
+    release(rows.sparkSession)
+    # What a similar pair shares at least, by the band of its larger set: a few dozen numbers.
+    least = {r.band: r.spare for r in reps.groupBy("band").agg(F.min("spare").alias("spare")).collect()}
+    floor = F.lit(1)
+    for at in sorted(set(least) | {k - 1 for k in least}):
+        both = min(least.get(at, SPARE), least.get(at + 1, SPARE))
+        floor = F.when(F.col("band") == at, both).otherwise(floor)
+    facts = rows.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.count(F.lit(1)).alias("held"))
+    facts = facts.join(reps.select("doc_id", "band"), "doc_id").filter(F.col("held") >= floor)
+    return rows.join(facts.select("doc_id", "degree"), "doc_id").drop("n")
+
+
+def _prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, comp, n, place, h: each document's rarest shingles, as many as a similar pair must share one of.
+
+    Rare is what few of these documents have; ties go by hash, so the order is the same for all.
+    """
+
+    def compute(texts):
+        sets = []
+        for part in batches(texts):
+            sets += [signed(s) for s in shingles(split(texts[part], LOWER), words)]
+        return {"own": sets}
+
+    sets = mapped(docs, "own array<long>", lambda: compute, ["text"], drop=["text"])
+    sets = stored(sets.withColumn("n", F.size("own")), "rare-sets")
+    rows = sets.select("doc_id", F.explode("own").alias("h"))
+    counts = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "rare-counts")
+    release(docs.sparkSession)
+    # Shingles of one document only come first of all and can be shared with nobody.
+    ranked = rows.join(counts, "h").groupBy("doc_id").agg(  # a group is one document
+        F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked")
     )
-    prefix = F.expr(f"slice(sorted, 1, n - cast(ceil(n * {num}D / {den}D - 1e-9) as int) + 1)")
-    return first.select("doc_id", F.explode(prefix).alias("p")).select(
-        F.xxhash64(F.lit("rare"), "p.h").alias("key"), "doc_id"
+    ranked = stored(ranked.join(sets.select("doc_id", "comp", "n"), "doc_id"), "rare-ranked")
+    release(docs.sparkSession)
+    length = F.expr(f"cast(n - ({num} * n + {den - 1}) div {den} + 1 as int)")
+    alone = F.col("n") - F.size("ranked")
+    prefix = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)))
+    rows = ranked.select("doc_id", "comp", "n", alone.alias("alone"), F.posexplode(prefix).alias("place", "r"))
+    return rows.select("doc_id", "comp", "n", (F.col("place") + F.col("alone")).alias("place"), F.col("r.h").alias("h"))
+
+
+def _remaining(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) between components that may still be similar: every similar one is among them.
+
+    Of a similar pair the first shingle in common, in order of rarity, is in the larger set's
+    prefix and in the smaller one's shorter prefix, and what follows it suffices for the
+    intersection. A text that differs from all others in enough shingles of its own has only
+    those in its prefix and meets nobody, however large its group.
+    """
+    rows = stored(_prefixes(docs, words, num, den), "rare-prefixes")
+    several = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
+    rows = stored(rows.join(several, "h"), "rare-shared")
+    short = F.expr(f"n - ({2 * num} * n + {num + den - 1}) div {num + den} + 1")
+    left = rows.filter(F.col("place") < short).withColumnsRenamed({"doc_id": "a", "comp": "ca", "n": "na", "place": "pa"})
+    right = rows.withColumnsRenamed({"doc_id": "b", "comp": "cb", "n": "nb", "place": "pb"})
+    fits = (
+        "ca != cb AND (na < nb OR (na = nb AND a < b)) AND "
+        f"{den} * na >= {num} * nb AND {num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)"
     )
+    return left.join(right, "h").filter(fits).select("a", "b").distinct()
 
 
 def links(facts: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Components (doc_id, comp) of the representatives that have a link."""
-    spark = docs.sparkSession
     reps = facts.filter(F.col("whole").isNotNull() & F.col("doc_id").isNotNull())
     least = reps.groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
-    reps = reps.join(least, ["whole", "doc_id"], "left_semi")
-    rows = reps.select(F.explode("keys").alias("key"), "doc_id")
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    members = rows.join(shared.filter("lo < hi").select("key"), "key").distinct()
+    reps = reps.join(stored(least, "join-least"), ["whole", "doc_id"], "left_semi")
+    members = stored(_members(reps), "join-degrees")
     lacking = reps.select(F.explode("empty").alias("key"), "doc_id", "short")
     short = lacking.filter("short").select("key", F.col("doc_id").alias("a"))
-    members = stored(members, "join-members")
-    extra = stored(
-        lacking.join(short, "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct(),
-        "join-short",
-    )
+    extra = lacking.join(short, "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    extra = stored(extra, "join-short")
     ids = members.select("doc_id").union(extra.select("a")).union(extra.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
-    texts = stored(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]), "join-texts")
-
-    found: DataFrame | None = None
-    comps = spark.createDataFrame([], "doc_id long, comp long")
-    first, refined = True, False
-    while True:
-        open_ = _unfinished(members, comps)
-        if not first:
-            open_ = stored(open_, "join-open")
-            if open_.isEmpty():
-                return comps
-        if not first and not refined:
-            # Once: large keys that one centre did not settle are regrouped by rare shingles.
-            refined = True
-            large = open_.filter(F.col("n") > SMALL)
-            if not large.isEmpty():
-                small = open_.filter(F.col("n") <= SMALL).select("key", "doc_id")
-                members = stored(small.union(_rare(large, texts, words, num, den)), "join-members")
-                continue
-        star = open_ if first else open_.filter(F.col("n") > SMALL)
-        pairs = star.filter("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-        if first:
-            pairs = pairs.union(extra)
-        else:
-            few = open_.filter(F.col("n") <= SMALL).select("key", "doc_id", "comp")
-            other = few.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"))
-            between = few.join(other, "key").filter("doc_id < b AND comp != comp_b")
-            pairs = pairs.union(between.select(F.col("doc_id").alias("a"), "b"))
-        linked = stored(verified(pairs.distinct(), texts, words, num, den), "join-links")
-        found = linked if found is None else found.union(linked)
-        comps = components(found)
-        # The centre has met every member; keys done pair by pair are finished.
-        members = open_ if first else open_.filter(F.col("n") > SMALL)
-        members = stored(members.filter("doc_id != centre").select("key", "doc_id"), "join-members")
-        first = False
+    texts = stored(texts.join(stored(ids, "join-ids"), "doc_id").dropDuplicates(["doc_id"]), "join-texts")
+    release(docs.sparkSession)
+
+    stars = stored(_stars(members), "join-stars")
+    pairs = stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).union(extra).distinct()
+    pairs = stored(_sized(pairs, reps, num, den), "join-pairs")
+    linked = stored(verified(pairs, texts, words, num, den), "join-links")
+    release(docs.sparkSession)
+    comps = components(linked)
+    rest = texts.join(stored(_unsettled(stars, comps), "join-still"), "doc_id").join(comps, "doc_id", "left")
+    rest = rest.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
+    more = stored(verified(_remaining(rest, words, num, den), texts, words, num, den), "join-more")
+    return comps if more.isEmpty() else components(linked.union(more))
 
 
 def report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -275,6 +313,7 @@ def report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Da
     facts = stored(described(docs, words, num, den), "join-facts")
     comps = links(facts, docs, words, num, den)
     least = facts.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("rep"))
+    least = stored(least, "join-reps")
     rows = facts.select("doc_id", "n_shingles", "whole").join(least, "whole", "left")
     rows = rows.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return rows.select(
