@@ -248,14 +248,17 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, version, h, place) whose hash is in several documents, with the shard each meets."""
+    """Rows (doc_id, version, h, place) whose hash is in several documents, with the shard each meets.
+
+    The hashes are stored first: a join of two plain inputs is one whose hot keys Spark can split.
+    """
     met = (
         rows.groupBy("h")
         .agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
         .filter("ref < most")
         .select("h", "ref", F.ceil(F.col("n") / PER_COPY).cast("int").alias("copies"), (F.col("n") > 2).alias("more"))
     )
-    return rows.join(met, "h")
+    return rows.join(stored(met, "substring-shared"), "h")
 
 
 def _collected(met: DataFrame) -> DataFrame:
@@ -273,7 +276,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataF
     gram = min(gram, length)
     keyed = _keyed(docs)
     facts = stored(described(keyed, length, gram), "substring-facts")
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    first = stored(facts.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "substring-first")
     repeats = F.coalesce((F.col("n_words") >= length) & (F.col("first_id") < F.col("doc_id")), F.lit(False))
     told = facts.join(first, "digest").withColumn("copy", repeats)
     rows = (
