@@ -278,7 +278,9 @@ def links(facts: DataFrame, docs: DataFrame, words: int, num: int, den: int) ->
     """Components (doc_id, comp) of the representatives that have a link."""
     reps = facts.filter(F.col("whole").isNotNull() & F.col("doc_id").isNotNull())
     least = reps.groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
-    reps = reps.join(stored(least, "join-least"), ["whole", "doc_id"], "left_semi")
+    reps = reps.join(stored(least, "join-least"), ["whole", "doc_id"], "left_semi").drop("whole")
+    reps = stored(reps, "join-distinct")  # read several times; its keys are shuffled once
+    release(docs.sparkSession)
     members = stored(_members(reps), "join-degrees")
     lacking = reps.select(F.explode("empty").alias("key"), "doc_id", "short")
     short = lacking.filter("short").select("key", F.col("doc_id").alias("a"))
