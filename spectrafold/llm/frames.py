@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
@@ -99,10 +100,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files of finished work, before the next step writes as much again.
 
-    It does so when the driver's garbage is collected, by itself every half hour at least.
+    It does so when the driver's garbage is collected, by itself every half hour at least. The
+    news of a query's end still holds the query for a moment, hence the second time.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def bounded_rows(df: DataFrame, key: str, limit: int) -> DataFrame:

@@ -288,7 +288,9 @@ def links(facts: DataFrame, docs: DataFrame, words: int, num: int, den: int) ->
     extra = stored(extra, "join-short")
     ids = members.select("doc_id").union(extra.select("a")).union(extra.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
-    texts = stored(texts.join(stored(ids, "join-ids"), "doc_id").dropDuplicates(["doc_id"]), "join-texts")
+    ids = stored(ids, "join-ids")
+    release(docs.sparkSession)
+    texts = stored(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]), "join-texts")
     release(docs.sparkSession)
 
     stars = stored(_stars(members), "join-stars")
