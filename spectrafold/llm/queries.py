@@ -13,6 +13,7 @@ from spectrafold.llm import (
     mixing,
     neighbours,
     ngram_join,
+    periods,
     substrings,
     tokens,
     toxicity,
@@ -246,3 +247,22 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, folder, "pages").select("page_id", "url")
     return urls.judge(pages, rules).drop("url")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, the longest one, and what is left without repetition."""
+    docs = periods.with_periodic_tails(table(spark, folder, "documents").select("doc_id", "text"))
+    found = periods.collapse(docs)
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS s, -r.period AS p)))")
+    lines = "transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n')"
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.s")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.p")).alias("period"),
+        F.expr("1000 * longest.length div -longest.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.expr(lines), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 
 def test_numbered():
     numbers = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
-    assert numbers == {f"op{k}" for k in range(1, 11)}
+    assert numbers == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in contract.queries()
 
 
