@@ -14,6 +14,7 @@ from spectrafold.llm import (
     neighbours,
     ngram_join,
     periods,
+    ranking,
     substrings,
     tokens,
     toxicity,
@@ -249,6 +250,48 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, rules).drop("url")
 
 
+@query(
+    "op12_ranked_search",
+    r"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), item AS (
+        SELECT item_id, unnest(list_filter(string_split_regex(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)
+    ), asked AS (
+        SELECT item_id, term, count(*) AS times FROM item GROUP BY ALL
+    ), total AS (
+        SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_words FROM doc WHERE len(words) > 0
+    ), found AS (
+        SELECT row, doc_id, n, term, count(*) AS tf
+        FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM doc)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ), held AS (
+        SELECT term, count(*) AS df FROM found GROUP BY term
+    ), weighted AS (
+        SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM held, total
+    ), scored AS (
+        SELECT item_id, row, doc_id,
+               CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+        FROM asked JOIN weighted USING (term) JOIN found USING (term), total GROUP BY ALL
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ranking.top(docs, table(spark, folder, "benchmark").select("item_id", "text"), k=20)
+
+
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of every document, the longest one, and what is left without repetition."""
