@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spectrafold.llm import (
     decontaminate,
+    hyperminhash,
     licenses,
     mixing,
     neighbours,
@@ -250,6 +251,42 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, rules).drop("url")
 
 
+@query(
+    "op11_near_duplicates",
+    r"""
+    WITH RECURSIVE cut AS (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[ \t\n\v\f\r]+'), lambda w: w <> '') AS words
+        FROM documents
+    ), shingle AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS s
+        FROM cut, unnest(range(1, greatest(len(words) - 2, least(len(words), 1) + 1))) AS t(i)
+    ), sized AS (
+        SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id) AS n FROM shingle
+    ), link AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n
+        HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+    ), reach AS (
+        SELECT doc_id AS x, doc_id AS y FROM cut
+        UNION
+        SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
+    ), named AS (
+        SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+    )
+    SELECT cut.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, any_value(component_id) AS component_id,
+           cut.doc_id = any_value(component_id) AS kept
+    FROM cut JOIN named USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, n FROM sized) USING (doc_id)
+    GROUP BY cut.doc_id
+    """,
+)
+def op11_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under Jaccard links of 0.8, and whether it is the one kept."""
+    return hyperminhash.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query(
     "op12_ranked_search",
     r"""
