@@ -14,9 +14,11 @@ Those sets (``short``) are found by the keys of their empty segments as well, so
 
 Documents with equal sets are one representative from the start. Keys that only one
 representative has are dropped by a pre-aggregated count. Within a key, the representatives are
-compared with one centre (a document that shares fewer keys than every similar pair must is left
-out, and so are sizes too different); what is connected then needs no further comparison. The members of
-keys that still span several components are finished exactly: pairs between components that
+compared with one centre (a document that shares fewer keys than every similar pair of its must is left
+out, and so are sizes too different); what is connected then needs no further comparison. Keys
+that still span several components are open. A similar pair between components shares as many open
+keys as it must share keys at all, so documents with fewer are left out, round by round, until
+none is. Those that remain are finished exactly: pairs between components that
 pass a positional prefix filter on rare shingles are compared too. So a key never makes all its
 pairs. Each candidate pair is verified on the shingle sets of the whole texts.
 """
@@ -87,18 +89,23 @@ def allocation(k: int, num: int, den: int) -> tuple[int, int]:
 
 
 def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
-    """Index keys of a set of shingle hashes, keys of its empty segments, how many keys any similar
-    set that is not larger shares with it at least, and if it is short.
+    """Index keys of a set of shingle hashes, keys of its empty segments, how many keys it shares with
+    any similar set at least, and if it is short.
+
+    A similar pair differs in no more segments than the larger set may differ in shingles, so
+    all but so many of the segments this set has members in are keys of both.
     """
     n = len(own)
     at = band(n)
+    largest = n * den // num  # size of a similar set, at most
     spread = mix(own ^ np.uint64(0x5851F42D4C957F2D))
-    found, empty, spare, short = [], [], 1, False
+    found, empty, spare, short = [], [], SPARE, False
     for k in (at, at + 1):
-        if k > at and den * n < num * band_start(k):
+        if k > at and largest < band_start(k):
             continue  # too small for any partner there
         m, near = allocation(k, num, den)
         if not m:
+            spare = 1
             continue
         segment = ((own >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
@@ -119,7 +126,8 @@ def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, i
         if k == at:
             # A short set is sought among all sets that lack the same segment.
             short = weight <= differing(n, num, den)
-            spare = max(1, weight - differing(n, num, den)) if near == 0 else 1
+        agreeing = len(held) - differing(min(largest, band_start(k + 1) - 1), num, den)
+        spare = min(spare, max(1, agreeing if near == 0 else 1))
         empty.append(mix(name[missing] + np.uint64(1)))
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return np.unique(join(found)), join(empty), spare, short
@@ -196,15 +204,28 @@ def _sized(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(fits).select("a", "b")
 
 
-def _unsettled(stars: DataFrame, comps: DataFrame) -> DataFrame:
-    """Documents with a key whose members, the centre aside, are in several components."""
-    held = stars.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    return stars.join(stored(several.select("key"), "join-open"), "key").select("doc_id").distinct()
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Documents that may still have a partner in another component.
+
+    Every key that such a pair shares spans several components, and it shares ``spare`` of them at
+    least. So documents with fewer open keys are settled; without them other keys may close, and so on.
+    """
+    held = members.join(comps, "doc_id", "left").select("key", "doc_id", "spare", F.coalesce("comp", "doc_id").alias("comp"))
+    held = stored(held, "join-placed")
+    before = held.count()
+    while True:
+        several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        open_ = stored(held.join(stored(several.select("key"), "join-open"), "key"), "join-placed")
+        enough = open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("spare").alias("least"))
+        held = stored(open_.join(enough.filter("n >= least").select("doc_id"), "doc_id", "left_semi"), "join-placed")
+        after = held.count()
+        if after == before:
+            return held.select("doc_id").distinct()
+        before = after
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """key, doc_id, degree where several representatives have the key."""
+    """key, doc_id, degree, spare where several representatives have the key."""
     rows = reps.select(F.explode("keys").alias("key"), "doc_id")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Stored first: a join of two plain inputs is one whose hot keys Spark can split.
@@ -212,15 +233,9 @@ def _members(reps: DataFrame) -> DataFrame:
     release(rows.sparkSession)
     rows = stored(rows.join(sizes, "key"), "join-members")
     release(rows.sparkSession)
-    # What a similar pair shares at least, by the band of its larger set: a few dozen numbers.
-    least = {r.band: r.spare for r in reps.groupBy("band").agg(F.min("spare").alias("spare")).collect()}
-    floor = F.lit(1)
-    for at in sorted(set(least) | {k - 1 for k in least}):
-        both = min(least.get(at, SPARE), least.get(at + 1, SPARE))
-        floor = F.when(F.col("band") == at, both).otherwise(floor)
     facts = rows.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.count(F.lit(1)).alias("held"))
-    facts = facts.join(reps.select("doc_id", "band"), "doc_id").filter(F.col("held") >= floor)
-    return rows.join(facts.select("doc_id", "degree"), "doc_id").drop("n")
+    facts = facts.join(reps.select("doc_id", "spare"), "doc_id").filter(F.col("held") >= F.col("spare"))
+    return rows.join(facts.select("doc_id", "degree", "spare"), "doc_id").drop("n")
 
 
 def _prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -299,7 +314,7 @@ def links(facts: DataFrame, docs: DataFrame, words: int, num: int, den: int) ->
     linked = stored(verified(pairs, texts, words, num, den), "join-links")
     release(docs.sparkSession)
     comps = components(linked)
-    rest = texts.join(stored(_unsettled(stars, comps), "join-still"), "doc_id").join(comps, "doc_id", "left")
+    rest = texts.join(stored(_unsettled(members, comps), "join-still"), "doc_id").join(comps, "doc_id", "left")
     rest = rest.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
     more = stored(verified(_remaining(rest, words, num, den), texts, words, num, den), "join-more")
     return comps if more.isEmpty() else components(linked.union(more))
