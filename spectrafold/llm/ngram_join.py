@@ -12,7 +12,7 @@ its own band and, if a larger partner can be there, for the next. For each band
 written, plus the sets whose empty segments would leave too little agreement to find.
 Those sets (``short``) are found by the keys of their empty segments as well, so nothing is lost.
 
-Documents with equal sets are one representative from the start. Keys that only one
+Documents with equal texts are one representative from the start. Keys that only one
 representative has are dropped by a pre-aggregated count. Within a key, the representatives are
 compared with one centre (a document that shares fewer keys than every similar pair of its must is left
 out, and so are sizes too different); what is connected then needs no further comparison. Keys
@@ -31,7 +31,7 @@ from math import exp, factorial
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +104,10 @@ def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, i
         if k > at and largest < band_start(k):
             continue  # too small for any partner there
         m, near = allocation(k, num, den)
-        if not m:
+        if not m:  # similar to equal sets only
             spare = 1
+            if k == at:
+                found.append(mix(spread.sum(keepdims=True) + np.uint64(k << 32)))
             continue
         segment = ((own >> np.uint64(17)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
@@ -133,31 +135,34 @@ def keys(own: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, i
     return np.unique(join(found)), join(empty), spare, short
 
 
-def described(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Each row's number of shingles, key of the whole set (null without any), and index keys."""
+def _noded(docs: DataFrame) -> DataFrame:
+    """doc_id, node (identifies the text: equal texts are one node), text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
+
+def described(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Each row's number of shingles and index keys, without its text.
+
+    Raises ValueError where the similarity is below 13/17: its bands would have to be wider.
+    """
     if den * 13 > num * 17:
         raise ValueError("similarities below 13/17 need wider bands")
 
     def one(own: np.ndarray) -> tuple:
         if not len(own):
-            return 0, None, 0, [], [], 1, False
+            return 0, [], [], 1, False
         found, empty, spare, short = keys(own, num, den)
-        whole = xxhash.xxh3_128_digest(own.tobytes())
-        return len(own), whole, band(len(own)), signed(found), signed(empty), int(spare), bool(short)
+        return len(own), signed(found), signed(empty), int(spare), bool(short)
 
-    def compute(texts):
+    def compute(batch):
         rows = []
-        for part in batches(texts):
-            rows += [one(own) for own in shingles(split(texts[part], LOWER), words)]
-        names = ("n_shingles", "whole", "band", "keys", "empty", "spare", "short")
-        return {name: [r[k] for r in rows] for k, name in enumerate(names)}
-
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    added = (
-        "n_shingles long, whole binary, band int, keys array<long>, empty array<long>, spare int, short boolean"
-    )
-    return mapped(text, added, lambda: compute, ["text"], drop=["text"])
+        for part in batches(batch):
+            rows += [one(own) for own in shingles(split(batch[part], LOWER), words)]
+        return {name: [r[k] for r in rows] for k, name in enumerate(("n_shingles", "keys", "empty", "spare", "short"))}
+
+    added = "n_shingles long, keys array<long>, empty array<long>, spare int, short boolean"
+    return mapped(texts, added, lambda: compute, ["text"], drop=["text"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -242,25 +247,25 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, comp, n, place, h: each document's rarest shingles, as many as a similar pair must share one of.
 
     Rare is what few of these documents have; ties go by hash, so the order is the same for all.
+    The sets are made from the texts each time rather than stored.
     """
 
-    def compute(texts):
-        sets = []
-        for part in batches(texts):
-            sets += [signed(s) for s in shingles(split(texts[part], LOWER), words)]
-        return {"own": sets}
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts, ids = frame.column("text").to_pylist(), frame.column("doc_id").to_numpy()
+            for part in batches(texts):
+                sets = list(shingles(split(texts[part], LOWER), words))
+                own = np.repeat(ids[part], [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(signed(np.concatenate(sets)))], ["doc_id", "h"])
 
-    sets = mapped(docs, "own array<long>", lambda: compute, ["text"], drop=["text"])
-    sets = stored(sets.withColumn("n", F.size("own")), "rare-sets")
-    rows = sets.select("doc_id", F.explode("own").alias("h"))
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
     counts = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "rare-counts")
     release(docs.sparkSession)
     # Shingles of one document only come first of all and can be shared with nobody.
     ranked = rows.join(counts, "h").groupBy("doc_id").agg(  # a group is one document
         F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked")
     )
-    ranked = stored(ranked.join(sets.select("doc_id", "comp", "n"), "doc_id"), "rare-ranked")
-    release(docs.sparkSession)
+    ranked = ranked.join(docs.select("doc_id", "comp", "n"), "doc_id")
     length = F.expr(f"cast(n - ({num} * n + {den - 1}) div {den} + 1 as int)")
     alone = F.col("n") - F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)))
@@ -289,33 +294,33 @@ def _remaining(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return left.join(right, "h").filter(fits).select("a", "b").distinct()
 
 
-def links(facts: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Components (doc_id, comp) of the representatives that have a link."""
-    reps = facts.filter(F.col("whole").isNotNull() & F.col("doc_id").isNotNull())
-    least = reps.groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
-    reps = reps.join(stored(least, "join-least"), ["whole", "doc_id"], "left_semi").drop("whole")
-    reps = stored(reps, "join-distinct")  # read several times; its keys are shuffled once
-    release(docs.sparkSession)
+def links(reps: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Components (doc_id, comp) of the representatives that have a link.
+
+    ``reps`` as ``described``, ``texts`` the doc_id and text of the same rows.
+    """
     members = stored(_members(reps), "join-degrees")
     lacking = reps.select(F.explode("empty").alias("key"), "doc_id", "short")
     short = lacking.filter("short").select("key", F.col("doc_id").alias("a"))
     extra = lacking.join(short, "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     extra = stored(extra, "join-short")
     ids = members.select("doc_id").union(extra.select("a")).union(extra.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").dropna()
     ids = stored(ids, "join-ids")
-    release(docs.sparkSession)
-    texts = stored(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]), "join-texts")
-    release(docs.sparkSession)
+    release(reps.sparkSession)
+    texts = stored(texts.join(ids, "doc_id"), "join-texts")
+    release(reps.sparkSession)
 
     stars = stored(_stars(members), "join-stars")
     pairs = stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).union(extra).distinct()
     pairs = stored(_sized(pairs, reps, num, den), "join-pairs")
     linked = stored(verified(pairs, texts, words, num, den), "join-links")
-    release(docs.sparkSession)
+    release(reps.sparkSession)
     comps = components(linked)
-    rest = texts.join(stored(_unsettled(members, comps), "join-still"), "doc_id").join(comps, "doc_id", "left")
-    rest = rest.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp"))
+    rest = stored(_unsettled(members, comps), "join-still").join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
+    rest = texts.join(rest.join(comps, "doc_id", "left"), "doc_id")
+    rest = rest.select("doc_id", "text", "n", F.coalesce("comp", "doc_id").alias("comp"))
+    rest = stored(rest, "join-rest")
+    release(reps.sparkSession)
     more = stored(verified(_remaining(rest, words, num, den), texts, words, num, den), "join-more")
     return comps if more.isEmpty() else components(linked.union(more))
 
@@ -326,32 +331,57 @@ def report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Da
     A document's set are its distinct shingles of ``words`` lower-case words (fewer words: all of
     them as one). Documents link when den * intersection >= num * union; a component is what
     links connect, named by its smallest id. Texts that are null, empty or without words have
-    no set and link with nothing. Repeated rows are one document. A row without an id has the
-    component of an equal set, or none.
+    no set and link with nothing. Different texts of one id are judged each on its own; equal rows
+    are alike. A row without an id has the component of an equal text, or none.
     """
-    facts = stored(described(docs, words, num, den), "join-facts")
-    comps = links(facts, docs, words, num, den)
-    least = facts.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("rep"))
-    least = stored(least, "join-reps")
-    rows = facts.select("doc_id", "n_shingles", "whole").join(least, "whole", "left")
-    rows = rows.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    return rows.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("whole").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "rep")).alias("component_id"),
-    )
+    rows = stored(_noded(docs).select("doc_id", "node"), "join-nodes")
+    least = rows.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    least = stored(least, "join-least")
+    # Of equal texts the row with the smallest id; the join spreads a text that many rows share.
+    texts = _noded(docs).join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
+    texts = texts.select(F.col("node").alias("doc_id"), "text")
+    reps = stored(described(texts, words, num, den), "join-distinct")  # read several times
+    release(docs.sparkSession)
+    comps = links(reps.filter("n_shingles > 0"), texts, words, num, den)
+    placed = least.join(comps.withColumnsRenamed({"doc_id": "node"}), "node", "left")
+    placed = placed.withColumn("comp", F.coalesce("comp", "node"))
+    names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("name")), "join-names")
+    told = placed.join(names, "comp").select("node", "name")
+    told = stored(told.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "join-told")
+    found = rows.join(told, "node", "left")
+    if not rows.filter("doc_id IS NULL").isEmpty():
+        found = _nameless(found, docs, words)
+    name = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", name.alias("component_id"))
+
+
+def _nameless(found: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``found`` with the set sizes of texts that only rows without an id have."""
+
+    def compute(batch):
+        sizes = []
+        for part in batches(batch):
+            sizes += [len(own) for own in shingles(split(batch[part], LOWER), words)]
+        return {"own": sizes}
+
+    lone = _noded(docs).filter("doc_id IS NULL").select("node", "text").dropDuplicates(["node"])
+    sizes = stored(mapped(lone, "own long", lambda: compute, ["text"], drop=["text"]), "join-lone")
+    return found.join(sizes, "node", "left").withColumn("n_shingles", F.coalesce("n_shingles", "own"))
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component (the smallest id) and all unlinked ones.
 
-    Rows repeated under one id stay once; rows without an id stay unless an equal set has one.
+    Rows repeated under one id stay once; rows without an id stay unless an equal text has one.
     """
     told = report(docs, words, num, den)
     stay = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
     named = docs.join(stay.dropna().distinct(), docs["doc_id"] == F.col("__id"), "left_semi")
     named = named.dropDuplicates(["doc_id"])
     nameless = docs.filter(F.col("doc_id").isNull())
-    if stay.filter("__id IS NULL").isEmpty():
+    if nameless.isEmpty():
         return named
-    return named.unionByName(nameless)
+    worded = docs.filter("doc_id IS NOT NULL").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    named_texts = worded.select(F.xxhash64("text").alias("__node")).distinct()
+    alone = nameless.join(named_texts, F.xxhash64(nameless["text"]) == F.col("__node"), "left_anti")
+    return named.unionByName(alone)
