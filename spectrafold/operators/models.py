@@ -1,9 +1,9 @@
 """Linear models from one distributed aggregate.
 
-Every model needs only the means and co-moments of its terms and response. Spark merges them
-stably (a large offset of a column cancels nothing), in one pre-aggregated pass over the rows,
-whatever their number; what is left is one row per group with at most a few hundred numbers,
-solved in place by ``mapInPandas``. The intercept follows from the means.
+Every model needs only the means and co-moments of its terms and response. They are sums taken
+about the means of each group (a large offset of a column cancels nothing), in two pre-aggregated
+passes over the rows, whatever their number; what is left is one row per group with at most a
+few hundred numbers, solved in place by ``mapInPandas``. The intercept follows from the means.
 """
 
 from __future__ import annotations
@@ -20,20 +20,68 @@ from pyspark.sql import types as T
 from spectrafold.functions.strict import safe_div
 from spectrafold.functions.tails import f_tail, t_tail
 from spectrafold.operators.design import term_value
+from spectrafold.operators.joins import left_join_null_safe
+from spectrafold.session import ship
 
 INTERCEPT = "(Intercept)"
 # A term whose variance left after the earlier terms falls below this share is aliased.
 ALIAS_SHARE = 1e-10
+# Aggregates of one pass; with its keys it stays below spark.sql.codegen.maxFields (100).
+TOGETHER = 80
 
 
 def moments(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows, means and co-moments of the terms and ``y``; rows with a NULL drop out."""
+    """Rows, means and co-moments of the terms and ``y``; rows with a NULL drop out.
+
+    Two passes over ``df``: the means of each group, then plain sums of products of what is left
+    after taking them off. So no offset cancels, and both passes are sums in generated code.
+    """
     names = [f"_t{i}" for i in range(len(terms) + 1)]
     values = [*[term_value(t) for t in terms], F.col(y).cast("double")]
     rows = df.select(*by, *[v.alias(n) for v, n in zip(values, names)]).dropna(subset=names)
-    facts = [F.count(F.lit(1)).cast("double"), *[F.avg(n) for n in names]]
-    facts += [F.covar_pop(a, b) for i, a in enumerate(names) for b in names[i:]]
-    return rows.groupBy(*by).agg(F.array(*[F.coalesce(f, F.lit(0.0)) for f in facts]).alias("_moments"))
+    centre = rows.groupBy(*by).agg(*[F.avg(n).alias(f"_c{n}") for n in names])
+    centres = [f"_c{n}" for n in names]
+    if by:
+        rows = left_join_null_safe(rows, centre, by)
+    else:
+        one = centre.select(F.struct(*centres)).scalar()
+        rows = rows.withColumn("_c", one).select(*names, *[F.col(f"_c.{c}") for c in centres])
+    rows = rows.select(*by, *centres, *[(F.col(n) - F.col(f"_c{n}")).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = [F.count(F.lit(1)).cast("double"), *[F.max(c) for c in centres], *[F.sum(n) for n in names]]
+    sums += [F.sum(F.col(a) * F.col(b)) for a, b in pairs]
+    found = _aggregated(rows, [F.coalesce(s, F.lit(0.0)) for s in sums], by)
+
+    # What the means left over by rounding add to the products is taken off again.
+    size = len(names)
+    at = lambda i: F.col("_sums")[i]
+    n = F.greatest(at(0), F.lit(1.0))
+    means = [at(1 + i) + at(1 + size + i) / n for i in range(size)]
+    place = {name: 1 + size + i for i, name in enumerate(names)}
+    shared = [
+        (at(1 + 2 * size + k) - at(place[a]) * at(place[b]) / n) / n for k, (a, b) in enumerate(pairs)
+    ]
+    return found.select(*by, F.array(at(0), *means, *shared).alias("_moments"))
+
+
+def _aggregated(rows: DataFrame, facts: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """``_sums``: the aggregates ``facts`` per group as one array.
+
+    Spark gives up generated code for aggregates of more columns than ``TOGETHER``, so more are
+    taken in several passes.
+    """
+    found, parts = None, []
+    for lo in range(0, len(facts), TOGETHER):
+        name = f"_part{lo}"
+        part = rows.groupBy(*by).agg(F.array(*facts[lo : lo + TOGETHER]).alias(name))
+        parts.append(name)
+        if found is None:
+            found = part
+        elif by:
+            found = left_join_null_safe(found, part, by)
+        else:
+            found = found.withColumn(name, part.select(name).scalar())
+    return found.select(*by, F.concat(*parts).alias("_sums"))
 
 
 def _matrix(flat: Iterable[float], size: int) -> np.ndarray:
@@ -152,6 +200,7 @@ def _solve(
     sums = moments(df, y, terms, by)
     out = T.StructType([sums.schema[k] for k in by] + T._parse_datatype_string(columns).fields)
     names, terms, by = out.names, list(terms), list(by)
+    ship(df.sparkSession)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

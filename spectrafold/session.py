@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +68,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+_offered: list[tempfile.TemporaryDirectory] = []  # files the driver serves; they stay until it ends
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    _offered.append(tempfile.TemporaryDirectory(prefix="spectrafold-"))
+    path = os.path.join(_offered[-1].name, "spectrafold.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
