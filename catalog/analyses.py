@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import entry
-from catalog.sql import block, least_squares, number_text, t_tail
+from catalog.sql import block, f_tail, least_squares, number_text, t_tail
 from catalog.views import AB_ORDER, FL_ORDER
 from spectrafold.operators.models import INTERCEPT, anova_type2, ols, ols_summary
 from spectrafold.plans import figures, mixing, quenching, spectra, yields
@@ -141,10 +141,11 @@ def _(t):
 _ANOVA = f"term, ss, CAST(df AS BIGINT) AS df, ss / ms AS f, {t_tail('sqrt(ss / ms)', 'rdf')} AS p"
 _RESIDUAL = ("'Residuals' AS term, rss AS ss, CAST(df AS BIGINT) AS df, NULL::DOUBLE AS f,"
              " NULL::DOUBLE AS p")
+_F = "((yy - sy * sy / n - rss) / (n - df - 1) / (rss / df))"
 _SUMMARY = ("CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, CAST(n - df - 1 AS BIGINT) AS model_df,"
             " 1 - rss / (yy - sy * sy / n) AS r2,"
             " 1 - rss / (yy - sy * sy / n) * (n - 1) / df AS adj_r2, sqrt(rss / df) AS sigma,"
-            " (yy - sy * sy / n - rss) / (n - df - 1) / (rss / df) AS f")
+            f" {_F} AS f, {f_tail(_F, '(n - df - 1)', 'df')} AS p")
 
 
 @entry("C8_factorial_anova", _all(_FACTORIAL, "m_", _ANOVA, "_ss") + " UNION ALL "
@@ -154,15 +155,15 @@ def _(t):
     return _models(t, design, yields.factorial_models(), anova_type2)
 
 
-@entry("C8_factorial_summaries", _all(_FACTORIAL, "m_", _SUMMARY, "_fit"), "r2 adj_r2 sigma f", 4)
+@entry("C8_factorial_summaries", _all(_FACTORIAL, "m_", _SUMMARY, "_fit"), "r2 adj_r2 sigma f p", 4)
 def _(t):
     design = settle(factorial_design(t), "design")
-    return _models(t, design, yields.factorial_models(), ols_summary).drop("p")
+    return _models(t, design, yields.factorial_models(), ols_summary)
 
 
-@entry("C8_yellow_summaries", _all(_YELLOW, "m_yellow_", _SUMMARY, "_fit"), "r2 adj_r2 sigma f", 4)
+@entry("C8_yellow_summaries", _all(_YELLOW, "m_yellow_", _SUMMARY, "_fit"), "r2 adj_r2 sigma f p", 4)
 def _(t):
-    return _models(t, yellow_design(t), yields.yellow_models(), ols_summary).drop("p")
+    return _models(t, yellow_design(t), yields.yellow_models(), ols_summary)
 
 
 @entry("C8_yellow_models", _all(_YELLOW, "m_yellow_", _COEFFICIENTS), "coef se t p", 4)

@@ -459,6 +459,20 @@ def _(t):
     return text.label(t.factorial, "au{Au_level}_AMP{AMP_ratio} of {type}").select("file", "label")
 
 
+@entry("X2_number_text", f"SELECT seq, {number_text('small')} AS small, {number_text('large')} AS large,"
+       " concat('c = ', CASE WHEN share IS NULL THEN 'NA' ELSE " + number_text("share") + " END) AS label FROM"
+       " (SELECT seq, wavelength * 1e-7 AS small, floor(wavelength) * 1e3 AS large,"
+       " CASE WHEN seq % 7 > 0 THEN floor(intensity) / 10 + 0.2::DOUBLE END AS share FROM fl) x")
+def _(t):
+    """Numbers of many sizes as they read in labels."""
+    share = F.when(F.col("seq") % 7 > 0, F.floor("intensity") / 10 + F.lit(0.2))
+    rows = t.fl.select(
+        "seq", text.number_text(F.col("wavelength") * 1e-7).alias("small"),
+        text.number_text(F.floor("wavelength") * 1e3).alias("large"), share.alias("share"),
+    )
+    return text.label(rows, "c = {share}").drop("share")
+
+
 @entry("X3_component_label", """
     SELECT file, coalesce(nullif(concat_ws('+',
       CASE WHEN AMP_ratio IS NULL THEN 'NA' WHEN AMP_ratio <> 0 THEN 'AMP' END,

@@ -18,15 +18,16 @@ from spectrafold.sources.instrument import (
     SP,
     Dialect,
     file_stem,
+    list_spectra,
     read_spectra,
     read_spectra_set,
 )
 from spectrafold.sources.plate import read_plate, unpivot_plate
 from spectrafold.sources.sheets import FACTORIAL_SHEET, read_sheet
 
-# Header lines of an instrument file.
+# Header lines of an instrument file. The last one looks like data.
 HEADER = ["Data from Node", "User: x", "Integration Time (sec): 5,000000E-1",
-          "Number of Pixels in Spectrum: 2068"]
+          "Number of Pixels in Spectrum: 2068", "250,5\t99,5"]
 
 
 def _stem(prefix: str):
@@ -41,7 +42,8 @@ def _write_spectra(df: DataFrame, signal: str, dialect: Dialect, prefix: str) ->
     stem = _stem(prefix)
     line = F.concat(shown("wavelength"), F.lit("\t"), F.lit(" "), shown(signal))
     data = df.select(stem.alias("file"), F.lit(1).alias("part"), line.alias("value"))
-    top = F.explode(F.array(*[F.lit(x) for x in [*HEADER, dialect.marker]]))
+    above = [*HEADER[:-1], HEADER[-1].replace(",", dialect.decimal), f"not yet {dialect.marker}"]
+    top = F.explode(F.array(*[F.lit(x) for x in [*above, dialect.marker]]))
     header = df.select(stem.alias("file")).distinct().select("file", F.lit(0).alias("part"),
                                                              top.alias("value"))
     path = shared_folder(df.sparkSession, "instrument")
@@ -128,12 +130,39 @@ def _(t):
     return back.withColumn("n3_au", F.col("n3_au").cast("double"))
 
 
-@entry("K3_file_listing", "SELECT concat('Subt2_', lpad(CAST(file AS VARCHAR), 5, '0')) AS file,"
-       " count(*) AS n FROM fu GROUP BY file")
+_STEM = "lpad(CAST(file AS VARCHAR), 5, '0')"
+
+
+def _mixed_directory(t) -> str:
+    """Emission and absorbance files of one experiment side by side."""
+    stem = lambda prefix: _stem(prefix).alias("file")
+    line = F.concat_ws("\t", "wavelength", F.coalesce("signal", F.lit(0.0))).alias("value")
+    rows = t.fu.select(stem("Subt2_"), "wavelength", F.col("intensity").alias("signal"))
+    rows = rows.unionByName(t.ab.select(stem("Absorbance_"), "wavelength", F.col("absorbance").alias("signal")))
+    path = shared_folder(t.spark, "mixed")
+    rows.select("file", line).hint("rebalance", F.col("file")).write.partitionBy("file").text(path)
+    return path
+
+
+@entry("K3_file_listing", f"SELECT DISTINCT concat('Subt2_', {_STEM}) AS file, 'emission' AS kind FROM fu"
+       f" UNION ALL SELECT DISTINCT concat('Absorbance_', {_STEM}), 'absorbance' FROM ab")
 def _(t):
-    """Listing order does not matter to a scan; the stems can be sorted afterwards."""
-    stems = t.fu.select(_stem("Subt2_").alias("file")).groupBy("file")
-    return stems.agg(F.count(F.lit(1)).alias("n")).orderBy("file")
+    """Two patterns over one directory; only names are read."""
+    path = _mixed_directory(t)
+    kinds = {"Subt2_*": "emission", "Absorbance_*": "absorbance"}
+    found = [list_spectra(t.spark, path, p, True).select("file", F.lit(k).alias("kind")) for p, k in kinds.items()]
+    return found[0].unionByName(found[1])
+
+
+@entry("S1_mixed_directory", f"SELECT concat('Absorbance_', {_STEM}) AS file, count(*) AS n,"
+       " min(wavelength) AS first, max(wavelength) AS last FROM ab GROUP BY file", "first last")
+def _(t):
+    """One of the two kinds of files is read."""
+    point = Dialect(marker=OCEAN.marker, decimal=".")
+    rows = read_spectra(t.spark, _mixed_directory(t), "Absorbance_*", point, "absorbance", True)
+    return rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("wavelength").alias("first"), F.max("wavelength").alias("last")
+    )
 
 
 @entry("S1_U1_directory_union", "SELECT file, wavelength, intensity FROM fl UNION ALL"

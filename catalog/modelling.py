@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import entry
-from catalog.sql import block, least_squares, t_tail, two_way
+from catalog.sql import block, f_tail, least_squares, t_tail, two_way
 from spectrafold.operators import design, models
 from spectrafold.operators.joins import attach_scalar
 from spectrafold.operators.smoothing import local_regression
@@ -42,14 +42,29 @@ def _(t):
     return models.ols(t.runs.withColumn("known", known), "known", MAINS).drop("t", "p")
 
 
-@entry("M3_ols_summary", """
-    SELECT CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, 6::BIGINT AS model_df,
-      1 - rss / (yy - sy * sy / n) AS r2,
-      1 - rss / (yy - sy * sy / n) * (n - 1) / df AS adj_r2, sqrt(rss / df) AS sigma,
-      (yy - sy * sy / n - rss) / 6 / (rss / df) AS f
-    FROM fit_fit""", "r2 adj_r2 sigma f", 5)
+@entry("M3_ols_summary", f"""
+    SELECT *, {f_tail('f', '6', 'df')} AS p FROM (
+      SELECT CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, 6::BIGINT AS model_df,
+        1 - rss / (yy - sy * sy / n) AS r2,
+        1 - rss / (yy - sy * sy / n) * (n - 1) / df AS adj_r2, sqrt(rss / df) AS sigma,
+        (yy - sy * sy / n - rss) / 6 / (rss / df) AS f
+      FROM fit_fit) x""", "r2 adj_r2 sigma f p", 5)
 def _(t):
-    return models.ols_summary(t.runs, "y", TERMS).drop("p")
+    return models.ols_summary(t.runs, "y", TERMS)
+
+
+least_squares("fit_two", "runs", "y", ["b", "a:b"], where="c = -1")
+
+
+@entry("M3_summary_of_no_effect", f"""
+    SELECT *, {f_tail('f', '2', 'df')} AS p FROM (
+      SELECT CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df, 2::BIGINT AS model_df,
+        (yy - sy * sy / n - rss) / 2 / (rss / df) AS f
+      FROM fit_two_fit) x""", "f p", 5)
+def _(t):
+    """A model with hardly any effect: its p is not near 0."""
+    rows = models.ols_summary(t.runs.where(F.col("c") == -1), "y", ["b", "a:b"])
+    return rows.select("n", "df", "model_df", "f", "p")
 
 
 @entry("M3_p_values", f"SELECT grp, term, {t_tail('t', 'df')} AS p FROM fit_by", "p")

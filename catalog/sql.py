@@ -137,7 +137,18 @@ _features("feat_pooled", "fux", "auy365", "factorial")
 
 
 def number_text(column: str) -> str:
-    return f"coalesce(regexp_replace(CAST({column} AS VARCHAR), '\\.0$', ''), 'NA')"
+    """A number with 15 digits at most in the shorter of plain and exponent notation, or NA."""
+    x = f"CAST({column} AS DOUBLE)"
+    written = f"printf('%.14e', abs({x}))"
+    e = f"CAST(split_part({written}, 'e', 2) AS INTEGER)"
+    d = f"regexp_replace(replace(split_part({written}, 'e', 1), '.', ''), '^(.+?)0+$', '\\1')"
+    plain = (f"CASE WHEN {e} < 0 THEN concat('0.', repeat('0', -{e} - 1), {d})"
+             f" WHEN length({d}) <= {e} + 1 THEN rpad({d}, {e} + 1, '0')"
+             f" ELSE concat(left({d}, {e} + 1), '.', substr({d}, {e} + 2)) END")
+    power = (f"concat(left({d}, 1), CASE WHEN length({d}) > 1 THEN concat('.', substr({d}, 2)) ELSE '' END,"
+             f" 'e', CASE WHEN {e} < 0 THEN '-' ELSE '+' END, lpad(CAST(abs({e}) AS VARCHAR), 2, '0'))")
+    return (f"CASE WHEN {x} IS NULL THEN 'NA' ELSE concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END,"
+            f" CASE WHEN length({plain}) <= length({power}) THEN {plain} ELSE {power} END) END")
 
 
 _LEVELS = ["Au_level", "AMP_level", "N3_level", "Citr_level", "NaH_level"]
@@ -331,16 +342,22 @@ def least_squares(
 
 
 def t_tail(t: str, df: str) -> str:
-    """Two-sided tail of t: the integral of cos^(df-1) by Simpson's rule."""
-    start = f"atan(abs({t}) / sqrt({df}))"
-    width = f"(least(pi() / 2, {start} + 40 / sqrt({df})) - {start})"
+    """Two-sided tail of t."""
+    return f_tail(f"({t}) * ({t})", "1", df)
+
+
+def f_tail(f: str, df1: str, df2: str) -> str:
+    """Upper tail of F: the integral of sin^(df1-1) cos^(df2-1) by Simpson's rule."""
+    start = f"atan(sqrt({df1} * ({f}) / {df2}))"
+    width = f"(least(pi() / 2, {start} + 40 / sqrt({df2})) - {start})"
     steps = 4000
+    angle = f"({start} + i * {width} / {steps})"
     terms = (
         f"list_sum(list_transform(range(0, {steps + 1}), lambda i:"
         f" CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-        f" * pow(greatest(cos({start} + i * {width} / {steps}), 0), {df} - 1)))"
+        f" * pow(sin{angle}, {df1} - 1) * pow(greatest(cos{angle}, 0), {df2} - 1)))"
     )
-    beta = f"exp(lgamma(0.5) + lgamma({df} / 2.0) - lgamma(({df} + 1) / 2.0))"
+    beta = f"exp(lgamma({df1} / 2.0) + lgamma({df2} / 2.0) - lgamma(({df1} + {df2}) / 2.0))"
     return f"(2 * {terms} * {width} / {steps} / 3 / {beta})"
 
 

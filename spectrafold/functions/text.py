@@ -11,8 +11,32 @@ from pyspark.sql import types as T
 
 
 def number_text(value: Column) -> Column:
-    """A number as it reads in a label: 30 rather than 30.0."""
-    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+    """A number as it reads in a label: 15 significant digits at most, in the shorter notation.
+
+    30 rather than 30.0, 0.3 for the sum of 0.1 and 0.2, 1e-05, 1e+05 but 123456. Where plain and
+    exponent notation are equally long the plain one is taken.
+    """
+    value = value.cast("double")
+    written = F.format_string("%.14e", F.abs(value))
+    power = F.split_part(written, F.lit("e"), F.lit(2)).try_cast("int")
+    digits = F.replace(F.split_part(written, F.lit("e"), F.lit(1)), F.lit("."), F.lit(""))
+    digits = F.regexp_replace(digits, "(?<=.)0+$", "")
+    many = F.length(digits)
+    first, rest = F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2)
+    plain = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(many <= power + 1, F.rpad(digits, power + 1, F.lit("0")))
+        .otherwise(F.concat(first, F.lit("."), rest))
+    )
+    mantissa = F.when(many > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2))))
+    exponent = F.concat(
+        F.coalesce(mantissa, digits), F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+        F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"),
+    )
+    shorter = F.when(F.length(plain) <= F.length(exponent), plain).otherwise(exponent)
+    sign = F.when(value < 0, "-").otherwise("")
+    odd = F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("Inf")))
+    return F.coalesce(odd, F.concat(sign, shorter))
 
 
 def na_text(text: Column) -> Column:

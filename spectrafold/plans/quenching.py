@@ -80,7 +80,9 @@ def quenched_spectra(fl: DataFrame, samples: DataFrame) -> DataFrame:
     groups = ["c_Hg", "sample", "pH"]
     medians = settle(replicate_median(rows, ["wavelength", *groups], "intensity"), "medians")
     scaled = normalize_to_max(medians, "intensity", groups)
-    return scaled.withColumn("pH", F.concat(F.lit("pH = "), na_text(category(F.col("pH"), PH_LABELS))))
+    # Panels: whatever is not low is high.
+    shown = F.when(F.col("pH") == "low", PH_LABELS["low"]).when(F.col("pH").isNotNull(), PH_LABELS["high"])
+    return scaled.withColumn("pH", F.concat(F.lit("pH = "), na_text(shown)))
 
 
 def _integrals(fl: DataFrame, sheet: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Directories of instrument files as one long table.
 
-One scan reads every file: Spark lists the directory, packs small files into tasks and
-splits large ones. A row is a data line; header lines are recognised by their form, never by
-their number, so mixed line ends do no harm and a file may be split anywhere.
+One scan reads every file: Spark lists the directory and packs small files into tasks. A file is
+one record, cut at the line that ends its header, so nothing above that line becomes a row, whatever
+it looks like. A row is a data line below it; lines are never counted, so mixed line ends do no
+harm. Instrument files have some ten kilobytes; a spectrum too large for one record is
+a folder of part files, the first of which holds the header.
 """
 
 from __future__ import annotations
@@ -25,6 +27,11 @@ class Dialect:
     marker: str
     decimal: str
 
+    @property
+    def header(self) -> str:
+        """What precedes the data: all up to the first line that is the marker."""
+        return rf"(?ms)\A.*?^\Q{self.marker}\E[ \t]*$"
+
     @property
     def data_line(self) -> str:
         number = NUMBER.format(point="\\" + self.decimal)
@@ -46,31 +53,53 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]*$", "")
 
 
+def _located(spark: SparkSession, directory: str, pattern: str, folder_is_spectrum: bool):
+    """Reader, path and file stem for the files whose name (or folder) matches the glob ``pattern``."""
+    if folder_is_spectrum:
+        stem = F.regexp_extract("_metadata.file_path", r"/file=([^/]+)/", 1)
+        return spark.read, f"{directory.rstrip('/')}/file={pattern}/*", stem
+    reader = spark.read.option("pathGlobFilter", pattern)
+    return reader, directory, file_stem(F.col("_metadata.file_name"))
+
+
+def list_spectra(
+    spark: SparkSession, directory: str, pattern: str = "*", folder_is_spectrum: bool = False
+) -> DataFrame:
+    """Columns ``file`` (the stem), ``files`` and ``bytes``, in order of the stem.
+
+    Only the names and sizes of the files that match ``pattern`` are read, not their content.
+    """
+    reader, path, stem = _located(spark, directory, pattern, folder_is_spectrum)
+    found = reader.format("binaryFile").load(path).select(stem.alias("file"), "length")
+    sizes = found.groupBy("file").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return sizes.orderBy("file")
+
+
 def read_spectra(
     spark: SparkSession,
     directory: str,
-    pattern: str = "*txt",
+    pattern: str | None = None,
     dialect: Dialect = OCEAN,
     signal: str = "intensity",
     folder_is_spectrum: bool = False,
 ) -> DataFrame:
     """Columns ``wavelength``, ``signal`` and ``file`` (the file stem).
 
-    ``pattern`` is a glob on file names. With ``folder_is_spectrum`` a spectrum is a folder
-    ``file=<stem>`` of part files, as Spark writes it. A signal that is no number is NULL.
+    ``pattern`` is a glob on file names (``*txt`` if none is given). With ``folder_is_spectrum`` a
+    spectrum is a folder ``file=<stem>`` of part files, as Spark writes it, and ``pattern`` a glob on
+    stems. Lines up to the marker are no data; a file without the marker has no header. A
+    signal that is no number is NULL.
     """
-    reader = spark.read.option("pathGlobFilter", pattern)
-    if folder_is_spectrum:
-        reader = reader.option("recursiveFileLookup", "true")
-        stem = F.regexp_extract("_metadata.file_path", r"/file=([^/]+)/", 1)
-    else:
-        stem = file_stem(F.col("_metadata.file_name"))
-    lines = reader.text(directory).where(F.col("value").rlike(dialect.data_line))
-    fields = F.split("value", "\t")
-    return lines.select(
+    pattern = pattern or ("*" if folder_is_spectrum else "*txt")
+    reader, path, stem = _located(spark, directory, pattern, folder_is_spectrum)
+    whole = reader.text(path, wholetext=True)
+    data = F.regexp_replace("value", dialect.header, "")
+    lines = whole.select(stem.alias("file"), F.explode(F.split(data, r"[\r\n]+")).alias("line"))
+    fields = F.split("line", "\t")
+    return lines.where(F.col("line").rlike(dialect.data_line)).select(
         dialect.number(F.get(fields, F.lit(0))).alias("wavelength"),
         dialect.number(F.get(fields, F.lit(1))).alias(signal),
-        stem.alias("file"),
+        "file",
     )
 
 

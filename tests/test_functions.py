@@ -136,3 +136,17 @@ def test_tails_of_very_many_degrees(df):
     for t in (0.1, 1.0, 2.0, 4.0):
         assert t_tail(t, df) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
     assert f_tail(3.0, 4.0, df) == pytest.approx(math.exp(-6) * 7, rel=1e-6)  # chi-square, 4 degrees
+
+
+def test_numbers_in_labels(spark):
+    from spectrafold.functions.text import number_text
+
+    shown = {
+        30.0: "30", 0.5: "0.5", 0.1 + 0.2: "0.3", 1e-5: "1e-05", 1e5: "1e+05", 123456.0: "123456", 0.0: "0",
+        0.0001: "1e-04", 0.00012: "0.00012", 1.5e-7: "1.5e-07", -2.0: "-2", 1e15: "1e+15", 1234567.25: "1234567.25",
+        1e-120: "1e-120", 100.0: "100", 1 / 3: "0.333333333333333", 2 / 3 * 1e6: "666666.666666667", 22.0: "22",
+    }
+    df = spark.createDataFrame([(x,) for x in shown], "x double")
+    assert {r.x: r.s for r in df.select("x", number_text(F.col("x")).alias("s")).collect()} == shown
+    odd = spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,)], "x double")
+    assert [r.s for r in odd.select(number_text(F.col("x")).alias("s")).collect()] == ["NaN", "-Inf", None]

@@ -102,3 +102,22 @@ def test_figure_sink_partitions_by_facet(spark, tmp_path):
 def test_band_polygons(spark):
     rows = band_polygons(spark).collect()
     assert [r.x for r in rows if r.band == "yellow"] == [590.0, 610.0, 610.0, 590.0]
+
+
+def test_nothing_above_the_marker_is_data(spark, tmp_path):
+    above = "Data\n\r1,5\t2,5\nsee >>>>>Begin Spectral Data<<<<<\n300,0\t7,0\n"
+    below = "200,0\t1,0\r\n201,0\t-2,5E-1\r\n>>>>>Begin Spectral Data<<<<<\r\n202,0\t3,0\r\n"
+    (tmp_path / "a_1.txt").write_bytes((above + ">>>>>Begin Spectral Data<<<<<\n" + below).encode())
+    (tmp_path / "b_2.txt").write_bytes(b"200,0\t9,0\r\n")
+    got = sorted(map(tuple, read_spectra(spark, str(tmp_path)).collect()))
+    assert got == [(200.0, 1.0, "a_1"), (200.0, 9.0, "b_2"), (201.0, -0.25, "a_1"), (202.0, 3.0, "a_1")]
+
+
+def test_listing_reads_names_only(spark, tmp_path):
+    from spectrafold.sources.instrument import list_spectra
+
+    for name in ("Subt2_00002.txt", "Subt2_00001.txt", "Absorbance_00001.txt", "notes.md"):
+        (tmp_path / name).write_bytes(b"12345")
+    got = list_spectra(spark, str(tmp_path), "Subt2_*txt")
+    assert [tuple(r) for r in got.collect()] == [("Subt2_00001", 1, 5), ("Subt2_00002", 1, 5)]
+    assert "ReadSchema: struct<length:bigint>" in got._jdf.queryExecution().toString()
