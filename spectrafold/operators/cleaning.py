@@ -1,9 +1,10 @@
 """Baseline correction and smoothing of spectra held in one long table.
 
 A spectrum is the set of rows that share ``key``; its order is always explicit. An ordinary
-spectrum is cleaned in one task after one shuffle on ``key``. A spectrum with more rows than
-``slice_rows`` is cut into slices along the wavelength axis, so that its rows spread over as
-many tasks as it needs.
+spectrum is cleaned in one task after one shuffle on ``key``. A long one is cut at split points, every
+``slice_rows`` rows on average, so that its rows spread over as many tasks as it needs. The split
+points are places in the explicit order, tie-breaks and signal included, so neither an outlying
+wavelength nor thousands of equal ones make a slice longer.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from spectrafold.functions.numeric import med3, median_of
 from spectrafold.functions.strict import strict_avg_where
-from spectrafold.operators.heavy import heavy_groups, only_heavy, without_heavy
 from spectrafold.operators.joins import left_join_null_safe
+from spectrafold.operators.splits import cut_groups, rows_of_cut_groups, split_points, whole_groups, with_slice
+from spectrafold.session import settle
 
-SLICE_ROWS = 2_000_000
+POINTS = 1_000_000  # of a slice, on average
 
 
 def baseline_correct(
@@ -44,10 +46,14 @@ def running_median(
     signal: str = "intensity",
     key: str = "file",
     order: Sequence[str] = ("wavelength",),
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int = POINTS,
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
-    """Centred running median of odd width ``k``, with Tukey's rule at both ends."""
-    return _clean(df, k, None, signal, key, order, slice_rows)
+    """Centred running median of odd width ``k``, with Tukey's rule at both ends.
+
+    ``inventory`` as made by ``spectrum_inventory``; without it, it is made from ``df``.
+    """
+    return _clean(df, k, None, signal, key, order, slice_rows, inventory)
 
 
 def clean_spectra(
@@ -57,13 +63,45 @@ def clean_spectra(
     order: Sequence[str] = ("wavelength",),
     baseline: tuple[float, float] = (850.0, 900.0),
     k: int = 5,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int = POINTS,
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
     """Baseline correction followed by the running median, sharing one shuffle.
 
     The baseline is a constant shift, with which the median and its end rule commute.
+    ``inventory`` as made by ``spectrum_inventory`` with the same baseline; without it, it is made from
+    ``df``, which is then read once more for the columns of the order.
+    """
+    return _clean(df, k, baseline, signal, key, order, slice_rows, inventory)
+
+
+def spectrum_inventory(
+    df: DataFrame,
+    signal: str = "intensity",
+    key: str = "file",
+    order: Sequence[str] = ("wavelength",),
+    baseline: tuple[float, float] | None = None,
+    slice_rows: int = POINTS,
+) -> DataFrame:
+    """Split points of the spectra that are cut, and their mean signal in the baseline window.
+
+    It can be stored beside a landed table and handed to every cleaning of that table, of a
+    subset of its spectra too; building a query then starts no job.
     """
-    return _clean(df, k, baseline, signal, key, order, slice_rows)
+    rows = df.withColumn(signal, F.col(signal).cast("double"))
+    points = split_points(rows, [key], _full_order(order, signal), slice_rows)
+    if baseline is None:
+        return points.withColumn("_offset", F.lit(0.0))
+    inside = "wavelength > {} AND wavelength < {}".format(*baseline)
+    mean = F.expr(_window_mean(inside, signal=f"`{signal}`"))
+    offsets = rows_of_cut_groups(rows, points, [key]).groupBy(key).agg(mean.alias("_offset"))
+    known = points.join(offsets, F.col(f"_k_{key}").eqNullSafe(F.col(key))).drop(key)
+    return known if not points.take(1) else settle(known, "inventory")
+
+
+def _full_order(order: Sequence[str], signal: str) -> list[str]:
+    """``order`` with the signal as its last tie-break."""
+    return [*order, *([] if signal in order else [signal])]
 
 
 def _clean(
@@ -74,35 +112,31 @@ def _clean(
     key: str,
     order: Sequence[str],
     slice_rows: int,
+    inventory: DataFrame | None,
 ) -> DataFrame:
     if k < 1 or k % 2 == 0:
         raise ValueError("the width of a running median must be odd")
+    if inventory is None:
+        inventory = spectrum_inventory(df, signal, key, order, baseline, slice_rows)
     columns = [f"`{c}`" for c in df.columns]
     kept = [c for c in columns if c != f"`{signal}`"]
     rows = df.selectExpr(*kept, f"CAST(`{signal}` AS DOUBLE) AS _x")
-    order = ["_x" if c == signal else c for c in order]
+    order = ["_x" if c == signal else c for c in _full_order(order, signal)]
     inside = "wavelength > {} AND wavelength < {}".format(*baseline) if baseline else "FALSE"
-    facts = {"first": F.min("wavelength"), "last": F.max("wavelength")}
-    if baseline:
-        facts["offset"] = F.expr(_window_mean(inside))
-    heavy = heavy_groups(rows, [key], slice_rows, facts)
     value = "_y - _offset" if baseline else "_y"
     result = [value + f" AS `{signal}`" if c == f"`{signal}`" else c for c in columns]
 
-    # Ordinary spectra: the mean comes from the window the smoother sorts for anyway.
+    # Whole spectra: the mean comes from the window the smoother sorts for anyway.
     extra = [_window_mean(inside, over=_everything([key], order)) + " AS _offset"]
-    ordinary = rows if heavy is None else without_heavy(rows, heavy, [key])
-    ordinary = _lined_up(ordinary, [key], order, k, extra if baseline else [])
-    smooth = _with_ends(ordinary, [key], order, k).selectExpr(*result)
-    if heavy is None:
-        return smooth
+    whole = whole_groups(rows, inventory.select(f"_k_{key}"), [key])
+    whole = _lined_up(whole, [key], order, k, extra if baseline else [])
+    smooth = _with_ends(whole, [key], order, k).selectExpr(*result)
 
-    # Heavy spectra: medians inside a slice are final; the thin rims of all slices, put
+    # Cut spectra: medians inside a slice are final; the thin rims of all slices, put
     # together, hold every neighbour of the points at the slice borders.
-    offset = ["_facts[3] AS _offset"] if baseline else []
-    sliced = only_heavy(rows, heavy, [key]).selectExpr(
-        *kept, "_x", *offset, f"{_slice_number(slice_rows)} AS _slice"
-    )
+    sliced = with_slice(cut_groups(rows, inventory, [key]), order)
+    # Dealt by both: a join on the key alone must not leave a spectrum in one task.
+    sliced = sliced.repartition(F.col(key), F.col("_slice"))
     lined = _lined_up(sliced, [key, "_slice"], order, k)
     half = k // 2
     reach = max(half + 3, 3 * half - 1)
@@ -117,20 +151,13 @@ def _clean(
     return smooth.unionByName(inner).unionByName(borders)
 
 
-def _window_mean(inside: str, over: str = "") -> str:
+def _window_mean(inside: str, over: str = "", signal: str = "_x") -> str:
     """Mean of the points inside the window; NULL if there are none or one is NULL."""
-    here = f"CASE WHEN {inside} THEN _x END"
+    here = f"CASE WHEN {inside} THEN {signal} END"
     rows, known = f"count(CASE WHEN {inside} THEN 1 END)", f"count({here})"
     return f"CASE WHEN {rows} {over} = {known} {over} THEN avg({here}) {over} END"
 
 
-def _slice_number(slice_rows: int) -> str:
-    """The slice of a point: its place between the first and the last wavelength."""
-    slices = f"ceil(_facts[0] / {slice_rows})"
-    place = f"floor((wavelength - _facts[1]) / nullif(_facts[2] - _facts[1], 0) * {slices})"
-    return f"coalesce(least({place}, {slices} - 1), 0)"
-
-
 def _by(parts: Sequence[str], order: Sequence[str]) -> str:
     names = ", ".join(f"`{c}`" for c in parts)
     return f"PARTITION BY {names} ORDER BY " + ", ".join(f"`{c}`" for c in order)

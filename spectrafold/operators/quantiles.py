@@ -7,13 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.operators.heavy import heavy_groups, only_heavy, without_heavy
+from spectrafold.operators.splits import cut_groups, split_points, whole_groups, with_slice
+from spectrafold.session import settle
 
-GROUP_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
-# The sketch is off by at most one part in SKETCH_ACCURACY; ten parts on either side of the
-# wanted probability are certain to enclose it.
-BRACKET = 10 / SKETCH_ACCURACY
+VALUES = 50_000  # different values between two split points, on average
 
 
 def exact_quantiles(
@@ -21,7 +18,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    group_rows: int = GROUP_ROWS,
+    every: int = VALUES,
     interpolate: bool = True,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probabilities``.
@@ -30,17 +27,23 @@ def exact_quantiles(
     the two middle ones); without ``interpolate`` they are the value of rank ``ceil(p n)``.
     A NULL in the group makes its quantiles NULL.
 
-    Two passes over ``df``: the first counts the groups right away, the second aggregates.
-    When ``df`` is costly, hand in settled rows (``session.settle``).
+    A group without split points is one aggregation, which holds its different values. In the
+    others every row belongs to the slice between two split points: slices are counted (before any
+    shuffle), the ranks sought are located in them, and only the rows of those slices are shuffled
+    and ranked, each slice on its own. So no window or buffer holds a share of a group, however
+    large it is.
+
+    ``df`` is read once to choose the split points, right away, and once more if there are any, to
+    count the slices; then to aggregate. When it is costly, hand in settled rows (``session.settle``).
     """
     names = [f"`{k}`" for k in keys]
     rows = df.selectExpr(*names, f"CAST(`{value}` AS DOUBLE) AS _v")
-    limit = max(group_rows, SKETCH_ACCURACY)  # the brackets need some ranks on either side
-    heavy = heavy_groups(rows, keys, limit, {"known": F.count("_v")})
-    if heavy is None:
-        return _in_one_task(rows, names, probabilities, interpolate)
-    light = _in_one_task(without_heavy(rows, heavy, keys), names, probabilities, interpolate)
-    return light.unionByName(_spread(rows, heavy, keys, probabilities, interpolate))
+    points = split_points(rows, keys, ["_v"], every)
+    groups = points.drop("_splits")
+    light = _in_one_task(whole_groups(rows, groups, keys), names, probabilities, interpolate)
+    if points.isEmpty():
+        return light
+    return light.unionByName(_selected(rows, points, keys, probabilities, interpolate))
 
 
 def _in_one_task(
@@ -57,70 +60,59 @@ def _in_one_task(
     )
 
 
-def _spread(
+def placed_values(rows: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the cut groups with their slice."""
+    return with_slice(cut_groups(rows, points, keys), ["_v"])
+
+
+def _selected(
     rows: DataFrame,
-    heavy: DataFrame,
+    points: DataFrame,
     keys: Sequence[str],
     probabilities: Mapping[str, float],
     interpolate: bool,
 ) -> DataFrame:
-    """Bracket each quantile with a sketch, then count exactly inside the brackets.
-
-    Values outside every bracket collapse onto the upper end of the bracket below them, or
-    onto NULL below the first one, so the counts keep every row while only a small share of
-    the distinct values is ranked.
-    """
+    """Quantiles of the cut groups: ranks are located in slices, then within them."""
     names = [f"`{k}`" for k in keys]
-    # A group with a NULL is settled: its quantiles are NULL.
-    whole = heavy.where("_facts[0] = _facts[1]")
-    unknown = heavy.where("_facts[0] > _facts[1]").selectExpr(
-        *[f"`_h_{k}` AS `{k}`" for k in keys],
-        *[f"CAST(NULL AS DOUBLE) AS `{n}`" for n in probabilities],
-    )
-    known = only_heavy(rows, whole, keys).selectExpr(*names, "_v", "_facts[0] AS _n")
-    ends = ", ".join(
-        f"{min(1.0, max(0.0, p + side))}D"
-        for p in probabilities.values() for side in (-BRACKET, BRACKET)
+    group = ", ".join(names)
+    values = placed_values(rows, points, keys)
+    sizes = values.groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_c"), F.expr("count_if(_v IS NULL)").alias("_unknown")
     )
-    sketch = f"percentile_approx(_v, array({ends}), {SKETCH_ACCURACY})"
-    brackets = known.groupBy(*names).agg(F.expr(sketch).alias("_b"))
-    placed = known.join(
-        F.broadcast(brackets.selectExpr(*[f"`{k}` AS `_b_{k}`" for k in keys], "_b")),
-        F.expr(" AND ".join(f"`{k}` <=> `_b_{k}`" for k in keys)),
-        "left",
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    sizes = sizes.selectExpr(
+        *names, "_slice", "_c",
+        f"sum(_c) OVER (PARTITION BY {group} ORDER BY _slice {upto}) AS _upto",
+        f"sum(_c) OVER (PARTITION BY {group}) AS _n",
+        f"sum(_unknown) OVER (PARTITION BY {group}) AS _unknown",
     )
-    clamped = [
-        f"CASE WHEN _v >= _b[{2 * i}] THEN least(_v, _b[{2 * i + 1}]) END"
-        for i in range(len(probabilities))
+    at = [
+        f"((_n - 1) * {float(p)}D + 1)" if interpolate else f"greatest(ceil(_n * {float(p)}D), 1)"
+        for p in probabilities.values()
     ]
-    slot = clamped[0] if len(clamped) == 1 else f"greatest({', '.join(clamped)})"
-    # A row that was moved sorts after the rows that really have that value.
-    counts = (
-        placed.selectExpr(*names, "_n", "_v", f"{slot} AS _slot")
-        .selectExpr(*names, "_n", "_slot", "NOT (_slot <=> _v) AS _moved")
-        .groupBy(*names, "_n", "_slot", "_moved")
-        .agg(F.count(F.lit(1)).alias("_c"))
+    ranks = [f"{end}({spot})" for spot in at for end in ("floor", "ceil")]
+    sought = " OR ".join(f"({rank} > _upto - _c AND {rank} <= _upto)" for rank in ranks)
+    wanted = sizes.where(sought).selectExpr(
+        *[f"`{k}` AS `_k_{k}`" for k in keys], "_slice AS _k__slice", "_upto - _c AS _before", "_n", "_unknown"
     )
-    upto = f"PARTITION BY {', '.join(names)} ORDER BY _slot NULLS FIRST, _moved"
+    # Stored, so that its size is known and the rows outside are dropped where they are read.
+    wanted = settle(wanted, "ranks")
+    inside = cut_groups(values, wanted, [*keys, "_slice"])
+    counts = inside.groupBy(*keys, "_slice", "_before", "_n", "_unknown", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranked = counts.selectExpr(
-        "*",
-        f"sum(_c) OVER ({upto} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _cum",
+        "*", f"_before + sum(_c) OVER (PARTITION BY {group}, _slice ORDER BY _v {upto}) AS _cum"
     )
-
-    found, out = [], []
-    for i, (name, p) in enumerate(probabilities.items()):
-        at = f"((_n - 1) * {float(p)}D + 1)" if interpolate else f"greatest(ceil(_n * {float(p)}D), 1)"
-        for end, rank in (("lo", f"floor({at})"), ("hi", f"ceil({at})")):
-            spot = f"min(CASE WHEN _cum >= {rank} THEN struct(_slot, _moved) END)"
-            found.append(F.expr(spot).alias(f"_{end}{i}"))
-        low, high = (
-            f"IF(_{end}{i}._moved, raise_error('quantile outside its bracket'), _{end}{i}._slot)"
-            for end in ("lo", "hi")
-        )
-        share = f"({at} - floor({at}))"
-        out.append(f"(1 - {share}) * {low} + {share} * {high} AS `{name}`")
-    picked = ranked.groupBy(*names, "_n").agg(*found)
-    return picked.selectExpr(*names, *out).unionByName(unknown)
+    found = [
+        F.expr(f"min(CASE WHEN _cum >= {end}({spot}) THEN _v END)").alias(f"_{end}{i}")
+        for i, spot in enumerate(at) for end in ("floor", "ceil")
+    ]
+    picked = ranked.groupBy(*keys, "_n", "_unknown").agg(*found)
+    out = []
+    for i, (name, spot) in enumerate(zip(probabilities, at)):
+        share = f"({spot} - floor({spot}))"
+        between = f"IF({share} = 0, _floor{i}, (1 - {share}) * _floor{i} + {share} * _ceil{i})"
+        out.append(f"IF(_unknown = 0, {between}, NULL) AS `{name}`")
+    return picked.selectExpr(*names, *out)
 
 
 def exact_median(
@@ -128,6 +120,6 @@ def exact_median(
     keys: Sequence[str],
     value: str,
     name: str | None = None,
-    group_rows: int = GROUP_ROWS,
+    every: int = VALUES,
 ) -> DataFrame:
-    return exact_quantiles(df, keys, value, {name or value: 0.5}, group_rows)
+    return exact_quantiles(df, keys, value, {name or value: 0.5}, every)

@@ -5,7 +5,8 @@ import statistics
 
 import pytest
 
-from spectrafold.operators.cleaning import baseline_correct, clean_spectra, running_median
+from spectrafold.operators.cleaning import baseline_correct, clean_spectra, running_median, spectrum_inventory
+from spectrafold.operators.splits import cut_groups, split_points, with_slice
 
 
 def expected(raw: list[float], k: int) -> list[float]:
@@ -120,3 +121,39 @@ def test_other_columns_and_their_order_survive(table):
 def test_one_full_shuffle(table):
     plan = clean_spectra(table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def largest_slice(df, order, every):
+    points = split_points(df, ["file"], order, every)
+    placed = with_slice(cut_groups(df, points, ["file"]), order).groupBy("_slice").count()
+    return placed.agg({"count": "max"}).collect()[0][0], placed.count()
+
+
+def test_an_outlying_wavelength_does_not_make_slices_longer(spark):
+    df = spark.range(20000).selectExpr("1 AS file", "IF(id = 0, 1e12, 300 + id / 1e4) AS wavelength", "sin(id) AS x")
+    largest, slices = largest_slice(df, ["wavelength", "x"], 500)
+    assert slices > 20 and largest < 500 * 12
+
+
+def test_equal_wavelengths_are_cut_at_their_tie_breaks(spark):
+    df = spark.range(20000).selectExpr("1 AS file", "365D AS wavelength", "sin(id) AS x")
+    largest, slices = largest_slice(df, ["wavelength", "x"], 500)
+    assert slices > 20 and largest < 500 * 12
+
+
+@pytest.mark.parametrize("slice_rows", [25])
+def test_outlier_and_equal_wavelengths_are_smoothed_alike(spark, slice_rows):
+    rows = [(0, 1e9 if i == 0 else 300.0 + (i // 150), float((i * 37) % 1009)) for i in range(600)]
+    df = spark.createDataFrame(rows, "file int, wavelength double, intensity double")
+    got = running_median(df, 5, order=("wavelength",), slice_rows=slice_rows).collect()
+    ordered = [x for _, _, x in sorted(rows, key=lambda r: (r[1], r[2]))]
+    assert sorted(r.intensity for r in got) == pytest.approx(sorted(expected(ordered, 5)))
+
+
+def test_an_inventory_handed_in_starts_no_job(spark, table):
+    inventory = spectrum_inventory(table, baseline=(850.0, 900.0), slice_rows=30)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    df = clean_spectra(table, slice_rows=30, inventory=inventory)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert by_file(df) == by_file(clean_spectra(table, slice_rows=30))
