@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from spectrafold.session import settle
 
-_BITS = 26  # of a slice number
-
 
 def _place(order: Sequence[str]) -> str:
     if len(order) == 1:
@@ -72,11 +70,11 @@ def rows_of_cut_groups(df: DataFrame, points: DataFrame, keys: Sequence[str]) ->
 def with_slice(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``_slice`` instead of ``_splits``: how many of them are at or before the row's place.
 
-    Found by halving steps, each a column of its own, so that the search stays in generated code.
+    Found by halving steps inside one expression. As a chain of columns they would double with each step
+    wherever the optimizer follows a slice number to where it comes from.
     """
     kept = [f"`{c}`" for c in df.columns if c != "_splits"]
-    steps = [f"0 AS _s{_BITS}"]
-    for i in reversed(range(_BITS)):
-        at = f"_s{i + 1}"
-        steps.append(f"{at} + IF(get(_splits, {at} + {(1 << i) - 1}) <= {_place(order)}, {1 << i}, 0) AS _s{i}")
-    return df.selectExpr("*", *steps).selectExpr(*kept, "_s0 AS _slice")
+    steps = "sequence(CAST(floor(log2(size(_splits))) AS INT), 0, -1)"
+    seen = f"get(_splits, s + shiftleft(1, b) - 1) <= {_place(order)}"
+    search = f"aggregate({steps}, 0, (s, b) -> s + IF({seen}, shiftleft(1, b), 0))"
+    return df.selectExpr(*kept, f"{search} AS _slice")

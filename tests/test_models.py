@@ -154,3 +154,45 @@ def test_large_offset_changes_nothing(spark):
         slope = [r.coef for r in ols(other, "y", ["a"]).collect() if r.term == "a"][0]
         assert slope == pytest.approx([r.coef for r in ols(near, "y", ["a"]).collect() if r.term == "a"][0], rel=1e-6)
     assert anova_type2(far, "y", ["a"]).first().ss == pytest.approx(anova_type2(near, "y", ["a"]).first().ss, rel=1e-6)
+
+
+def _local_fit(xs, ys, span, points):
+    """Brute force: weighted least squares at every place; None where it is not determined."""
+    found = []
+    for at in np.linspace(xs.min(), xs.max(), points):
+        far = np.abs(xs - at)
+        h = np.sort(far)[int(np.ceil(span * len(xs))) - 1]
+        w = (1 - np.minimum(far / h, 1) ** 3) ** 3
+        u = (xs - at) / h
+        design = np.vander(u, 3, increasing=True) * np.sqrt(w)[:, None]
+        known = np.linalg.det(design.T @ design) > 1e-9 * w.sum() ** 3
+        found.append(np.linalg.lstsq(design, ys * np.sqrt(w), rcond=None)[0][0] if known else None)
+    return found
+
+
+@pytest.mark.parametrize("every", [20, 5000])  # cut groups, whole groups
+def test_local_regression_equals_direct_fits(spark, every):
+    rng = np.random.default_rng(11)
+    even = rng.random(700)
+    crowded = np.concatenate([rng.normal(5, 1e-3, 400).round(5), rng.random(200) * 100, [1e4]])
+    data = {"even": even, None: crowded}
+    rows, truth = [], {}
+    for key, xs in data.items():
+        ys = np.sin(xs * 3) + rng.normal(0, 0.1, len(xs)) + 50
+        rows += [(key, float(a), float(b)) for a, b in zip(xs, ys)]
+        truth[key] = _local_fit(xs, ys, 0.4, 15)
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = local_regression(df, "x", "y", ["k"], span=0.4, points=15, every=every).collect()
+    assert len(got) == 30
+    for r in got:
+        # Some places of the crowded group lie far from all rows and extrapolate.
+        want = truth[r.k][r.place]
+        assert r.fitted == (want if want is None else pytest.approx(want, rel=1e-7 if r.k else 1e-5))
+
+
+def test_local_regression_without_rows_or_width(spark):
+    empty = spark.createDataFrame([], "k string, x double, y double")
+    assert local_regression(empty, "x", "y", ["k"], points=5).count() == 0
+    flat = spark.createDataFrame([("k", 1.0, 2.0)] * 4 + [("k", None, 1.0)], "k string, x double, y double")
+    got = local_regression(flat, "x", "y", ["k"], points=5).collect()
+    assert [r.fitted for r in got] == [None] * 5 and {r.x for r in got} == {1.0}
