@@ -12,8 +12,10 @@ comes; memory is one chunk and one record's headers, plus the payload if it is a
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,15 +25,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrafold.llm.frames import stored
 from spectrafold.session import shared_folder
 
 CHUNK = 1 << 18
 ARCHIVE_BYTES = 256 << 20
 MIN_REVISIT = 100
+MAX_HEAD = 1 << 20  # bytes of a WARC or HTTP head; a longer one is an error, not a buffer that grows
 DATE = "2024-01-01T00:00:00Z"
 RECORD = (
     "page_id long, url string, record_type string, payload_bytes long, payload_digest string, "
-    "refers_to long, digest_ok boolean, error string"
+    "refers_to long, digest_ok boolean, error string, record_id string, refers_to_id string"
 )
 
 
@@ -60,6 +64,8 @@ def planned(pages: DataFrame, key: str, url: str, html: str, least: int) -> Data
         .filter((F.col("copies") > 1) & F.col("first_id").isNotNull())
         .drop("copies")
     )
+    # Stored first: a join of two plain inputs is one whose hot digests Spark can split.
+    first = stored(first, "warc-first")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return page.join(first, "payload_digest", "left").withColumn(
         "refers_to", F.when(again, F.col("first_id"))
@@ -144,7 +150,7 @@ class Member:
         self.keep, self.head, self.left, self.tail = keep, bytearray(), None, 0
         self.fields: dict[str, str] = {}
         self.block, self.payload = hashlib.sha256(), hashlib.sha256()
-        self.http, self.in_http, self.size = bytearray(), True, 0
+        self.http, self.in_http, self.size = bytearray(), False, 0
         self.body = bytearray()
         self.error: str | None = None
 
@@ -152,64 +158,107 @@ class Member:
         if self.error:
             return
         if self.left is None:
-            seen = max(0, len(self.head) - 3)
-            self.head += data
-            at = self.head.find(b"\r\n\r\n", seen)
-            if at < 0:
+            data = self._headed(data)
+            if data is None:
                 return
-            lines = bytes(self.head[:at]).decode("utf-8", "replace").split("\r\n")
-            pairs = (line.partition(":") for line in lines[1:])
-            self.fields = {k.strip().lower(): v.strip() for k, _, v in pairs}
-            length = self.fields.get("content-length", "")
-            if not lines[0].startswith("WARC/") or not length.isdigit():
-                self.error = "not a WARC header"
-                return
-            self.left = int(length)
-            data = bytes(self.head[at + 4 :])
         inside, beyond = data[: self.left], data[self.left :]
         self.left -= len(inside)
         self.tail += len(beyond)
         self.block.update(inside)
         if self.in_http:
-            seen = max(0, len(self.http) - 3)
-            self.http += inside
-            at = self.http.find(b"\r\n\r\n", seen)
-            if at < 0:
-                return
-            self.in_http, inside = False, bytes(self.http[at + 4 :])
-            del self.http[at:]
+            inside = self._http_headed(inside)
         self.payload.update(inside)
         self.size += len(inside)
         if self.keep:
             self.body += inside
 
+    def _headed(self, data: bytes) -> bytes | None:
+        """What follows the WARC head, once it is complete."""
+        seen = max(0, len(self.head) - 3)
+        self.head += data
+        at = self.head.find(b"\r\n\r\n", seen)
+        if at < 0:
+            if len(self.head) > MAX_HEAD:
+                self.error = "not a WARC header"
+            return None
+        lines = bytes(self.head[:at]).decode("utf-8", "replace").split("\r\n")
+        pairs = (line.partition(":") for line in lines[1:])
+        self.fields = {k.strip().lower(): v.strip() for k, _, v in pairs}
+        self.left = natural(self.fields.get("content-length"))
+        if not lines[0].startswith("WARC/") or self.left is None:
+            self.error = "not a WARC header"
+            return None
+        # Only such a block starts with an HTTP head; any other is payload from its first byte.
+        self.in_http = self.fields.get("content-type", "").lower().startswith("application/http")
+        return bytes(self.head[at + 4 :])
+
+    def _http_headed(self, inside: bytes) -> bytes:
+        """What follows the HTTP head; nothing while it is not complete."""
+        seen = max(0, len(self.http) - 3)
+        self.http += inside
+        at = self.http.find(b"\r\n\r\n", seen)
+        if at < 0:
+            if len(self.http) > MAX_HEAD:
+                self.error = "HTTP head does not end"
+            return b""
+        self.in_http, inside = False, bytes(self.http[at + 4 :])
+        del self.http[at:]
+        return inside
+
     def row(self) -> dict:
         if not self.error and (self.left is None or self.left or self.tail != 4):
             self.error = "record and Content-Length differ"
+        if not self.error and self.in_http:
+            self.error = "HTTP head does not end"
         field = self.fields.get
-        number = lambda v: int(v) if (v := (v or "").removeprefix("<urn:page:").rstrip(">")) else None
         kind = field("warc-type")
-        claimed = (field("warc-payload-digest") or "").removeprefix("sha256:")
-        ok = self.error is None and field("warc-block-digest") == f"sha256:{self.block.hexdigest()}"
-        size = self.size
+        own, claimed = self.payload.hexdigest(), field("warc-payload-digest")
+        size, digest = self.size, own
         if kind == "revisit":
-            lengths = [x for x in bytes(self.http).lower().split(b"\r\n") if x.startswith(b"content-length:")]
-            size = int(lengths[0].split(b":")[1]) if lengths else None
-        else:
-            ok = ok and claimed == self.payload.hexdigest()
+            # Its payload is that of the record it refers to, as the head states it.
+            heads = (x.partition(b":") for x in bytes(self.http).lower().split(b"\r\n"))
+            lengths = [v.decode("latin-1") for k, _, v in heads if k.strip() == b"content-length"]
+            size = natural(lengths[0]) if lengths else None
+            if lengths and size is None:
+                self.error = self.error or "Content-Length is no number"
+            digest = (claimed or "").removeprefix("sha256:") or None
+        ok = self.error is None and matches(field("warc-block-digest"), self.block.hexdigest())
         return {
-            "page_id": number(field("warc-record-id")),
+            "page_id": page_number(field("warc-record-id")),
             "url": field("warc-target-uri"),
             "record_type": kind,
             "payload_bytes": size,
-            "payload_digest": claimed if kind == "revisit" else self.payload.hexdigest(),
-            "refers_to": number(field("warc-refers-to")),
-            "digest_ok": ok,
+            "payload_digest": digest,
+            "refers_to": page_number(field("warc-refers-to")),
+            "digest_ok": ok and (kind == "revisit" or matches(claimed, own)),
             "error": self.error,
+            "record_id": field("warc-record-id"),
+            "refers_to_id": field("warc-refers-to"),
             "payload": bytes(self.body) if self.keep else None,
         }
 
 
+def natural(text: str | None) -> int | None:
+    """A number of at most 18 decimal digits, or None."""
+    text = (text or "").strip()
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
+def page_number(name: str | None) -> int | None:
+    """The page a record id of ``write`` names; None for ids of other archives."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,18}|-?[0-9]{19})>", name or "")
+    number = int(found[1]) if found else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
+def matches(claimed: str | None, own: str) -> bool:
+    """A digest that is not stated, or not in SHA-256, contradicts nothing; hexadecimal or base 32."""
+    kind, _, value = (claimed or "").partition(":")
+    if kind.lower() not in ("sha256", "sha-256"):
+        return True
+    return value.lower() == own or value.upper() == base64.b32encode(bytes.fromhex(own)).decode()
+
+
 def members(stream, keep: bool = False, chunk: int = CHUNK) -> Iterator[dict]:
     """Records of an open archive in order; a damaged end is reported as a last row."""
     inflate, member, begun = zlib.decompressobj(31), Member(keep), False
@@ -236,8 +285,12 @@ def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """Records of the archives named in column ``path``, one row each, digests verified.
 
     payload_bytes and payload_digest are of the full payload, for revisits as the record
-    states it. ``digest_ok`` is false where block or payload differ from their digests; a
-    damaged archive gives its records up to the damage and one row with ``error``.
+    states it. Archives of others are read as well: ``page_id`` and ``refers_to`` are null where a record
+    id (``record_id``, ``refers_to_id``) is not of the form that ``write`` gives, and the payload of
+    a record that is not HTTP is its whole block. ``digest_ok`` is false where block or payload
+    differ from a SHA-256 digest of theirs that is stated, or the record has an ``error`` (lengths that
+    are no numbers or do not fit, an HTTP head that does not end). A damaged archive gives its records up
+    to the damage and one row with ``error``.
     """
     schema = RECORD + (", payload binary" if payloads else "")
     names = [x.split()[0] for x in schema.split(", ")]
