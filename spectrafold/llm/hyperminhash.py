@@ -12,17 +12,18 @@ Documents with equal sets are one representative from the start.
 
 **Candidates.** A key has one centre, the member that shares most keys with others, and each
 document is compared with the centre that most of its keys have. What that connects is settled. Keys whose members remain in several
-components are open: their members outside the key's largest component have their registers
+component are open: their members outside the key's largest component have their registers
 compared with all members, in blocks of bounded size, and only pairs between components whose
-estimate suffices leave the block, each from one of its common keys only. Keys for which that would be more than
-``COMPARED`` comparisons ask for a second key (two bands; a similar pair has fewer than two in
-common with probability 1e-7), with centres of its own, before they are compared like that. So
-a key never emits all of its pairs.
+estimate suffices leave the block, each from one of its common keys only. Of keys for which
+that would be more than ``COMPARED`` comparisons, the members too few of whose shingles are in
+another component are left out first: they can have no partner (exact). Then all open keys are compared.
 
 **Estimate.** Equal registers are counted and corrected for accidental ones: registers of unrelated sets
 of n and m shingles agree with a probability that follows from n and m (``accidental``). Pairs whose
-corrected estimate lies five standard deviations under the threshold are rejected; the others
-are verified on the full shingle sets of the texts.
+corrected estimate lies five standard deviations under the threshold are rejected. In open keys,
+the ``LOWEST`` smallest shingles of both sets then decide: exactly for sets that have no more, else by an
+estimate of twice the precision, with the same slack. What is left is verified on the full
+shingle sets of the texts.
 """
 
 from __future__ import annotations
@@ -44,11 +45,14 @@ from spectrafold.llm.words import LOWER, batches, mix, shingles, signed, split
 REGISTERS = 128
 MANTISSA = 10
 ROWS = 6
-COMPARED = 4_000_000  # comparisons of registers in an open key of one band
+COMPARED = 4_000_000  # comparisons of registers in an open key, before members are left out
 BLOCK = 2_000  # members whose registers one task holds for each side
+LOWEST = 512  # smallest shingles of a set that are compared
+GROUP = 4_000  # rows of small keys that are compared together, about
 SLACK = 5.0  # standard deviations
 _CHUNK = 4096  # shingles hashed at a time
 _TILE = 32  # rows compared at a time
+_SMALL = 1024  # comparisons made in one expression
 
 _SEED = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _FACTOR = (mix(_SEED + np.uint64(77)) | np.uint64(1)).reshape(-1, 1)
@@ -78,6 +82,8 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 def _equal(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """How many registers agree, for every row of ``one`` with every row of ``two``."""
+    if len(one) * len(two) <= _SMALL:
+        return (one[:, None, :] == two[None, :, :]).sum(2).astype(np.uint8)
     equal = np.zeros((len(one), len(two)), np.uint8)
     columns = np.ascontiguousarray(two.T)
     for lo in range(0, len(one), _TILE):  # a tile stays in the processor's cache
@@ -116,6 +122,35 @@ def floor_of(num: int, den: int) -> float:
     return s - SLACK * (s * (1 - s) / REGISTERS) ** 0.5
 
 
+def lowest(own: np.ndarray) -> np.ndarray:
+    """The smallest hashes of a sorted set, without their lower halves."""
+    return (own[:LOWEST] >> np.uint64(32)).astype(np.uint32)
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
+def possible(one: np.ndarray, two: np.ndarray, n: int, m: int, num: int, den: int) -> bool:
+    """If sets of ``n`` and ``m`` shingles with these ``lowest`` may be similar.
+
+    Decided exactly where both are whole; shingles of a set that look alike count as common.
+    """
+    whole = n == len(one) and m == len(two)
+    if not whole:  # what both know completely
+        top = min(x[-1] for x, size in ((one, n), (two, m)) if size > len(x))
+        one, two = one[one <= top], two[two <= top]
+    first, second = _distinct(one), _distinct(two)
+    at = np.minimum(np.searchsorted(first, second), len(first) - 1) if len(first) else 0
+    both = int((first[at] == second).sum()) if len(first) else 0
+    both += min(len(one) - len(first), len(two) - len(second))
+    union = len(one) + len(two) - both
+    if whole:
+        return den * both >= num * union
+    s = num / den
+    return both >= union * (s - SLACK * (s * (1 - s) / max(union, 1)) ** 0.5)
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, version (of the text), n_shingles, set (id of equal sets, null without shingles), registers."""
 
@@ -233,54 +268,120 @@ class _Search:
         placed = pairs.distinct().join(one, "a", "left").join(two, "b", "left")
         return placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def compare(self, rows: DataFrame, bands: int) -> None:
-        """Finish open keys of so many ``bands``: registers are compared block by block.
+    def _lowest(self, ids: DataFrame) -> DataFrame:
+        """set, low: the ``lowest`` shingles of the sets in ``ids``."""
+        words = self.limits[0]
+
+        def compute(texts):
+            found = []
+            for part in batches(texts):
+                found += [lowest(own).tobytes() for own in shingles(split(texts[part], LOWER), words)]
+            return {"low": found}
+
+        texts = self._texts(ids.select(F.col("set").alias("a"), F.col("set").alias("b")))
+        return mapped(texts, "low binary", lambda: compute, ["text"], drop=["text"]).withColumnRenamed("doc_id", "set")
+
+    def supported(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (of open keys) without the sets that cannot have a partner in another component.
 
-        A pair leaves only the key of the lowest bands it has in common among the keys that
+        A similar set holds num of den of the shingles at least, so as many are in another
+        component's sets among ``rows``.
+        """
+        words, num, den = self.limits
+        own = stored(rows.select("set", "comp").distinct(), "hyper-own")
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in frames:
+                texts, ids = frame.column("text").to_pylist(), frame.column("doc_id").to_numpy()
+                for part in batches(texts):
+                    sets = list(shingles(split(texts[part], LOWER), words))
+                    names = np.repeat(ids[part], [len(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(signed(np.concatenate(sets)))], ["set", "h"])
+
+        texts = self._texts(own.select(F.col("set").alias("a"), F.col("set").alias("b")))
+        held = texts.mapInArrow(run, "set long, h long").join(own, "set")
+        several = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+        shared = held.join(stored(several.select("h"), "hyper-several"), "h").groupBy("set").agg(F.count(F.lit(1)).alias("c"))
+        enough = shared.join(self.reps.select("set", "n_shingles"), "set").filter(f"{den} * c >= {num} * n_shingles")
+        return stored(rows.join(enough.select("set"), "set", "left_semi"), "hyper-supported")
+
+    def compare(self, rows: DataFrame) -> None:
+        """Finish open keys: registers are compared block by block, small keys many at a time.
+
+        A pair leaves only the key of the lowest band it has in common among the keys that
         are compared (``mask``); a key that is not, because it is settled, needs no comparison.
         """
         _, num, den = self.limits
         least = floor_of(num, den)
+        groups = -(-rows.count() // GROUP)
+        if not groups:
+            return
         masks = rows.groupBy("set").agg(F.expr("bit_or(bits)").alias("mask"))
-        own = self.reps.select("set", "n_shingles", "registers").join(masks, "set")
+        low = stored(self._lowest(rows.select("set").distinct()), "hyper-lowest")
+        own = self.reps.select("set", "n_shingles", "registers").join(masks, "set").join(low, "set")
         own = rows.join(own, "set").withColumn("other", F.col("comp") != F.col("top"))
         # Every block of all members meets every block of the others.
         deal = lambda column: F.pmod(F.xxhash64("set", F.lit(column)), F.col(column)).cast("int")
         spread = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
         own = own.withColumns({"nb": F.ceil(F.col("n") / BLOCK).cast("int"), "no": F.ceil(F.col("others") / BLOCK).cast("int")})
+        own = own.withColumn("grp", F.when(F.col("nb") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
         every = own.withColumns({"x": deal("nb"), "y": spread("no"), "asks": F.lit(False)})
         others = own.filter("other").withColumns({"y": deal("no"), "x": spread("nb"), "asks": F.lit(True)})
 
-        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-            first, second = frame[frame["asks"]], frame[~frame["asks"]]
-            one, two = _registers(first["registers"]), _registers(second["registers"])
+        def within(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of one key."""
+            asks = rows["asks"]
+            first, second = {c: v[asks] for c, v in rows.items()}, {c: v[~asks] for c, v in rows.items()}
+            one, two = first["registers"], second["registers"]
             equal = _equal(one, two)
             enough = equal >= np.uint8(max(0, int(least * REGISTERS)))
-            enough &= first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :]
+            enough &= first["comp"][:, None] != second["comp"][None, :]
             i, j = np.nonzero(enough)
-            na, nb = first["n_shingles"].to_numpy()[i], second["n_shingles"].to_numpy()[j]
-            a, b = first["set"].to_numpy()[i], second["set"].to_numpy()[j]
+            keep = (first["set"][i] < second["set"][j]) | ~second["other"][j]  # two others meet twice
+            i, j = i[keep], j[keep]
+            for k in range(int(rows["bits"][0]).bit_length() - 1):  # lower bands
+                if not len(i):
+                    break
+                met = (first["keys"][i, k] == second["keys"][j, k]) & (first["mask"][i] >> k & 1 == 1)
+                i, j = i[~met], j[~met]
+            na, nb = first["n_shingles"][i], second["n_shingles"][j]
+            keep = den * np.minimum(na, nb) >= num * np.maximum(na, nb)
+            i, j, na, nb = i[keep], j[keep], na[keep], nb[keep]
             keep = similarity(equal[i, j], na, nb) >= least
-            keep &= den * np.minimum(na, nb) >= num * np.maximum(na, nb)
-            keep &= (a < b) | ~second["other"].to_numpy(bool)[j]  # two others meet twice
-            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-            common = np.zeros(len(i), np.uint64)
-            for k, band in enumerate(_BAND):
-                common |= (one[i][:, band] == two[j][:, band]).all(1).astype(np.uint64) << np.uint64(k)
-            common &= first["mask"].to_numpy().view(np.uint64)[i]
-            chosen = np.zeros(len(i), np.uint64)
-            for _ in range(bands):
-                lowest = common & (~common + np.uint64(1))
-                chosen, common = chosen | lowest, common ^ lowest
-            here = chosen == first["bits"].to_numpy().view(np.uint64)[i]
-            return pd.DataFrame({"a": np.minimum(a, b)[here], "b": np.maximum(a, b)[here]})
-
-        columns = ["key", "bits", "x", "y", "asks", "other", "set", "comp", "mask", "n_shingles", "registers"]
+            i, j = i[keep], j[keep]
+            own = {k: np.frombuffer(first["low"][k], np.uint32) for k in np.unique(i).tolist()}
+            its = {k: np.frombuffer(second["low"][k], np.uint32) for k in np.unique(j).tolist()}
+            sizes = zip(i.tolist(), j.tolist(), first["n_shingles"][i].tolist(), second["n_shingles"][j].tolist())
+            may = np.array([possible(own[p], its[q], n, m, num, den) for p, q, n, m in sizes], bool)
+            a, b = first["set"][i[may]], second["set"][j[may]]
+            return np.minimum(a, b), np.maximum(a, b)
+
+        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("key")
+            whole = {c: frame[c].to_numpy() for c in frame.columns if c != "registers"}
+            registers = whole["registers"] = _registers(frame["registers"])
+            whole["keys"] = np.stack([_key(registers, k, band) for k, band in enumerate(_BAND)], 1)
+            start = np.flatnonzero(np.diff(whole["key"]) != 0) + 1
+            found = [
+                within({c: v[lo:hi] for c, v in whole.items()})
+                for lo, hi in zip([0, *start.tolist()], [*start.tolist(), len(frame)])
+            ]
+            return pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+
+        columns = ["grp", "key", "bits", "x", "y", "asks", "other", "set", "comp", "mask", "n_shingles", "registers", "low"]
         meeting = every.select(columns).unionByName(others.select(columns))
-        found = meeting.groupBy("key", "x", "y").applyInPandas(pairs, "a long, b long")
+        found = meeting.groupBy("grp", "x", "y").applyInPandas(pairs, "a long, b long")
         self.add(found.distinct(), estimated=True)
 
 
+def _key(own: np.ndarray, k: int, band: np.ndarray) -> np.ndarray:
+    """Key of band ``k`` for rows of registers."""
+    key = np.full(len(own), k + 1, np.uint64)
+    for register in band:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, register].astype(np.uint64))
+    return key
+
+
 def _band_keys(reps: DataFrame) -> DataFrame:
     """key, bits (the band's), set: the bands of compressed registers."""
 
@@ -288,38 +389,25 @@ def _band_keys(reps: DataFrame) -> DataFrame:
         for frame in frames:
             if not frame.num_rows:
                 continue
-            own = _registers(frame.column("registers").to_pylist()).astype(np.uint64)
+            own = _registers(frame.column("registers").to_pylist())
             sets = frame.column("set").to_numpy()
             for k, band in enumerate(_BAND):
-                key = np.full(len(own), k + 1, np.uint64)
-                for register in band:
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + own[:, register])
+                key = _key(own, k, band)
                 bits = np.full(len(own), 1 << k, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(bits), pa.array(sets)], ["key", "bits", "set"])
 
     return reps.select("set", "registers").mapInArrow(run, "key long, bits long, set long")
 
 
-def _double_keys(rows: DataFrame) -> DataFrame:
-    """key, bits, set: every two of the keys a set holds (``BANDS`` at most)."""
-    held = rows.groupBy("set").agg(F.sort_array(F.collect_set(F.struct("bits", "key"))).alias("ks"))
-    two = (
-        "flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), "
-        "y -> struct(xxhash64(x.key, y.key) AS key, x.bits | y.bits AS bits))))"
-    )
-    pairs = held.filter(F.size("ks") > 1).select("set", F.explode(F.expr(two)).alias("k"))
-    return pairs.select("k.key", "k.bits", "set")
-
-
 def links(reps: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
     """Components (doc_id holds the set, comp) of the sets that have a link; None if there is no link."""
     search = _Search(reps, docs, words, num, den)
     rows = search.round(_band_keys(reps))
     few = F.col("n") * F.col("others") <= COMPARED
-    search.compare(rows.filter(few), 1)
     large = rows.filter(~few)
     if not large.isEmpty():
-        search.compare(search.round(stored(_double_keys(large), "hyper-double")), 2)
+        rows = rows.filter(few).unionByName(search.supported(large))
+    search.compare(rows)
     return search.comps
 
 

@@ -102,3 +102,32 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert h.report(spark.createDataFrame([], data.DOCS)).collect() == []
     clash = spark.createDataFrame([(1, a, 3, "r")], "doc_id int, text string, set int, registers string")
     assert [tuple(r) for r in h.report(clash).collect()] == [(1, n, 1, True)]
+
+
+def test_lowest_shingles_decide():
+    rng = np.random.default_rng(11)
+    for size in (8, 300, 512, 4000):
+        for share in (0.5, 0.7, 0.79, 0.81, 0.9):
+            both = hashes(rng, round(size * share))
+            a = np.sort(np.concatenate([both, hashes(rng, (size - len(both)) // 2)]))
+            b = np.sort(np.concatenate([both, hashes(rng, (size - len(both)) // 2)]))
+            similar = 100 * len(both) >= 80 * (len(a) + len(b) - len(both))
+            got = h.possible(h.lowest(a), h.lowest(b), len(a), len(b), 80, 100)
+            assert got == similar if max(len(a), len(b)) <= h.LOWEST else got >= similar
+            assert not (got and share <= 0.5)
+
+
+def test_pairs_with_one_large_key_in_common(spark, monkeypatch):
+    """Each pair shares one key only, and every open key is large: none may be left out."""
+    monkeypatch.setattr(h, "_BAND", h._BAND[:1])
+    rng = random.Random(12)
+    passage, rows = data.prose(rng, 80), []
+    for d in range(0, 400, 2):
+        own = [f"own{d}w{k}" for k in range(14)]
+        rows += [(d, " ".join(passage + own)), (d + 1, " ".join(passage + own[:-1]))]
+    linked = {}
+    for limit in (0, 10**12):
+        monkeypatch.setattr(h, "COMPARED", limit)
+        got = h.report(data.frame(spark, rows)).filter("component_id != doc_id").collect()
+        linked[limit] = {(r.doc_id, r.component_id) for r in got}
+    assert linked[0] == linked[10**12] and len(linked[0]) > 20
