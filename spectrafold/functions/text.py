@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,23 @@ def number_text(value: Column) -> Column:
     exponent notation are equally long the plain one is taken.
     """
     value = value.cast("double")
-    written = F.format_string("%.14e", F.abs(value))
-    power = F.split_part(written, F.lit("e"), F.lit(2)).try_cast("int")
+    return _once(F.format_string("%.14e", F.abs(value)), lambda written: _shorter(value, written))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _shorter(value: Column, written: Column) -> Column:
+    """The shorter notation of a number ``written`` with an exponent."""
+    power = F.split_part(written, F.lit("e"), F.lit(2)).try_cast("int").alias("power")
     digits = F.replace(F.split_part(written, F.lit("e"), F.lit(1)), F.lit("."), F.lit(""))
-    digits = F.regexp_replace(digits, "(?<=.)0+$", "")
+    digits = F.regexp_replace(digits, "(?<=.)0+$", "").alias("digits")
+    return _once(F.struct(power, digits), lambda parts: _notation(value, parts["power"], parts["digits"]))
+
+
+def _notation(value: Column, power: Column, digits: Column) -> Column:
     many = F.length(digits)
     first, rest = F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2)
     plain = (
@@ -33,7 +46,10 @@ def number_text(value: Column) -> Column:
         F.coalesce(mantissa, digits), F.lit("e"), F.when(power < 0, "-").otherwise("+"),
         F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"),
     )
-    shorter = F.when(F.length(plain) <= F.length(exponent), plain).otherwise(exponent)
+    both = F.struct(plain.alias("plain"), exponent.alias("exponent"))
+    shorter = _once(
+        both, lambda x: F.when(F.length(x["plain"]) <= F.length(x["exponent"]), x["plain"]).otherwise(x["exponent"])
+    )
     sign = F.when(value < 0, "-").otherwise("")
     odd = F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.concat(sign, F.lit("Inf")))
     return F.coalesce(odd, F.concat(sign, shorter))

@@ -150,3 +150,12 @@ def test_numbers_in_labels(spark):
     assert {r.x: r.s for r in df.select("x", number_text(F.col("x")).alias("s")).collect()} == shown
     odd = spark.createDataFrame([(float("nan"),), (float("-inf"),), (None,)], "x double")
     assert [r.s for r in odd.select(number_text(F.col("x")).alias("s")).collect()] == ["NaN", "-Inf", None]
+
+
+def test_number_text_writes_a_number_once(spark):
+    from spectrafold.functions.text import number_text
+
+    df = spark.range(3).select((F.col("id") * 0.1).alias("x")).select(number_text(F.col("x")).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("%.14e") == 1
+    assert [r.s for r in df.collect()] == ["0", "0.1", "0.2"]
