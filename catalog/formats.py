@@ -30,6 +30,11 @@ HEADER = ["Data from Node", "User: x", "Integration Time (sec): 5,000000E-1",
           "Number of Pixels in Spectrum: 2068", "250,5\t99,5"]
 
 
+# Many small files: Hadoop starts a program for every local file and folder it makes, and for checksum
+# files as well; the latter are left out.
+SMALL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def _stem(prefix: str):
     return F.concat(F.lit(prefix), F.lpad(F.col("file").cast("string"), 5, "0"))
 
@@ -49,7 +54,8 @@ def _write_spectra(df: DataFrame, signal: str, dialect: Dialect, prefix: str) ->
     path = shared_folder(df.sparkSession, "instrument")
     # A spectrum too large for one task is split; its further part files have no header.
     lines = data.unionByName(header).hint("rebalance", F.col("file"))
-    lines.sortWithinPartitions("file", "part").drop("part").write.partitionBy("file").text(path)
+    lines = lines.sortWithinPartitions("file", "part").drop("part")
+    lines.write.options(**SMALL_FILES).partitionBy("file").text(path)
     return path
 
 
@@ -140,7 +146,8 @@ def _mixed_directory(t) -> str:
     rows = t.fu.select(stem("Subt2_"), "wavelength", F.col("intensity").alias("signal"))
     rows = rows.unionByName(t.ab.select(stem("Absorbance_"), "wavelength", F.col("absorbance").alias("signal")))
     path = shared_folder(t.spark, "mixed")
-    rows.select("file", line).hint("rebalance", F.col("file")).write.partitionBy("file").text(path)
+    rows = rows.select("file", line).hint("rebalance", F.col("file"))
+    rows.write.options(**SMALL_FILES).partitionBy("file").text(path)
     return path
 
 

@@ -57,7 +57,8 @@ def _located(spark: SparkSession, directory: str, pattern: str, folder_is_spectr
     """Reader, path and file stem for the files whose name (or folder) matches the glob ``pattern``."""
     if folder_is_spectrum:
         stem = F.regexp_extract("_metadata.file_path", r"/file=([^/]+)/", 1)
-        return spark.read, f"{directory.rstrip('/')}/file={pattern}/*", stem
+        # Folders, not their files: matched by one listing, then listed by Spark in parallel.
+        return spark.read, f"{directory.rstrip('/')}/file={pattern}", stem
     reader = spark.read.option("pathGlobFilter", pattern)
     return reader, directory, file_stem(F.col("_metadata.file_name"))
 

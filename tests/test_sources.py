@@ -121,3 +121,17 @@ def test_listing_reads_names_only(spark, tmp_path):
     got = list_spectra(spark, str(tmp_path), "Subt2_*txt")
     assert [tuple(r) for r in got.collect()] == [("Subt2_00001", 1, 5), ("Subt2_00002", 1, 5)]
     assert "ReadSchema: struct<length:bigint>" in got._jdf.queryExecution().toString()
+
+
+def test_small_local_files_without_checksums(spark):
+    """One file and one folder a spectrum, and nothing else that Hadoop starts a program for."""
+    from pathlib import Path
+
+    from catalog import formats
+
+    rows = spark.range(6).selectExpr("id % 3 AS file", "id * 1.0D AS wavelength", "id * 2.0D AS intensity")
+    path = formats._write_spectra(rows, "intensity", formats.OCEAN, "Subt2_")
+    names = sorted(p.relative_to(path).parts[0] for p in Path(path).glob("file=*/*"))
+    assert names == [f"file=Subt2_{i:05}" for i in range(3)]
+    back = formats._numbered(formats.read_spectra(spark, path, "Subt2_*", folder_is_spectrum=True))
+    assert sorted(map(tuple, back.select("file", "wavelength", "intensity").collect())) == sorted(map(tuple, rows.collect()))
