@@ -21,6 +21,9 @@ keys as it must share keys at all, so documents with fewer are left out, round b
 none is. Those that remain are finished exactly: pairs between components that
 pass a positional prefix filter on rare shingles are compared too. So a key never makes all its
 pairs. Each candidate pair is verified on the shingle sets of the whole texts.
+
+Intermediate tables are deleted by the step that reads them last; of ``report`` only ids, set sizes and
+names stay on disk.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrafold.llm.frames import mapped, release, stored
+from spectrafold.llm.frames import discard, mapped, release, stored
 from spectrafold.llm.graphs import components
 from spectrafold.llm.words import LOWER, batches, mix, shingles, signed, split
 
@@ -197,14 +200,16 @@ def _stars(members: DataFrame) -> DataFrame:
     """
     top = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("id"))).alias("top"))
     centres = stored(top.select("key", (-F.col("top.id")).alias("centre")), "join-centres")
-    return members.join(centres, "key").filter("doc_id != centre").select("key", "doc_id", "centre")
+    stars = members.join(centres, "key").filter("doc_id != centre").select("key", "doc_id", "centre")
+    stars = stored(stars, "join-stars")
+    discard(centres)
+    return stars
 
 
-def _sized(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def _sized(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow them to be similar."""
-    size = reps.select("doc_id", "n_shingles")
-    first = size.withColumnsRenamed({"doc_id": "a", "n_shingles": "na"})
-    second = size.withColumnsRenamed({"doc_id": "b", "n_shingles": "nb"})
+    first = sizes.withColumnsRenamed({"doc_id": "a", "n_shingles": "na"})
+    second = sizes.withColumnsRenamed({"doc_id": "b", "n_shingles": "nb"})
     fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
     return pairs.join(first, "a").join(second, "b").filter(fits).select("a", "b")
 
@@ -220,12 +225,17 @@ def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
     before = held.count()
     while True:
         several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        open_ = stored(held.join(stored(several.select("key"), "join-open"), "key"), "join-placed")
+        several = stored(several.select("key"), "join-open")
+        open_ = stored(held.join(several, "key"), "join-placed")
+        discard(several, held)
         enough = open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("spare").alias("least"))
         held = stored(open_.join(enough.filter("n >= least").select("doc_id"), "doc_id", "left_semi"), "join-placed")
+        discard(open_)
         after = held.count()
         if after == before:
-            return held.select("doc_id").distinct()
+            still = stored(held.select("doc_id").distinct(), "join-still")
+            discard(held)
+            return still
         before = after
 
 
@@ -237,10 +247,13 @@ def _members(reps: DataFrame) -> DataFrame:
     sizes = stored(sizes, "join-keys")
     release(rows.sparkSession)
     rows = stored(rows.join(sizes, "key"), "join-members")
+    discard(sizes)
     release(rows.sparkSession)
     facts = rows.groupBy("doc_id").agg(F.sum("n").alias("degree"), F.count(F.lit(1)).alias("held"))
     facts = facts.join(reps.select("doc_id", "spare"), "doc_id").filter(F.col("held") >= F.col("spare"))
-    return rows.join(facts.select("doc_id", "degree", "spare"), "doc_id").drop("n")
+    members = stored(rows.join(facts.select("doc_id", "degree", "spare"), "doc_id").drop("n"), "join-degrees")
+    discard(rows)
+    return members
 
 
 def _prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -270,7 +283,11 @@ def _prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     alone = F.col("n") - F.size("ranked")
     prefix = F.slice("ranked", F.lit(1), F.greatest(length - alone, F.lit(0)))
     rows = ranked.select("doc_id", "comp", "n", alone.alias("alone"), F.posexplode(prefix).alias("place", "r"))
-    return rows.select("doc_id", "comp", "n", (F.col("place") + F.col("alone")).alias("place"), F.col("r.h").alias("h"))
+    rows = rows.select("doc_id", "comp", "n", (F.col("place") + F.col("alone")).alias("place"), F.col("r.h").alias("h"))
+    rows = stored(rows, "rare-prefixes")
+    discard(counts)
+    release(docs.sparkSession)
+    return rows
 
 
 def _remaining(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -281,9 +298,10 @@ def _remaining(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     intersection. A text that differs from all others in enough shingles of its own has only
     those in its prefix and meets nobody, however large its group.
     """
-    rows = stored(_prefixes(docs, words, num, den), "rare-prefixes")
-    several = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    rows = stored(rows.join(several, "h"), "rare-shared")
+    prefixes = _prefixes(docs, words, num, den)
+    several = prefixes.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    rows = stored(prefixes.join(several.select("h"), "h"), "rare-shared")
+    discard(prefixes)
     short = F.expr(f"n - ({2 * num} * n + {num + den - 1}) div {num + den} + 1")
     left = rows.filter(F.col("place") < short).withColumnsRenamed({"doc_id": "a", "comp": "ca", "n": "na", "place": "pa"})
     right = rows.withColumnsRenamed({"doc_id": "b", "comp": "cb", "n": "nb", "place": "pb"})
@@ -291,38 +309,52 @@ def _remaining(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         "ca != cb AND (na < nb OR (na = nb AND a < b)) AND "
         f"{den} * na >= {num} * nb AND {num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)"
     )
-    return left.join(right, "h").filter(fits).select("a", "b").distinct()
+    pairs = stored(left.join(right, "h").filter(fits).select("a", "b").distinct(), "rare-pairs")
+    discard(rows)
+    return pairs
 
 
-def links(reps: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def links(reps: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Components (doc_id, comp) of the representatives that have a link.
 
-    ``reps`` as ``described``, ``texts`` the doc_id and text of the same rows.
+    ``reps`` as ``described`` and stored; deleted here, once its keys are read. ``sizes`` and ``texts``:
+    the doc_id, and n_shingles or text, of the same rows.
     """
-    members = stored(_members(reps), "join-degrees")
+    members = _members(reps)
     lacking = reps.select(F.explode("empty").alias("key"), "doc_id", "short")
     short = lacking.filter("short").select("key", F.col("doc_id").alias("a"))
     extra = lacking.join(short, "key").filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     extra = stored(extra, "join-short")
+    discard(reps)
     ids = members.select("doc_id").union(extra.select("a")).union(extra.select("b")).distinct()
     ids = stored(ids, "join-ids")
-    release(reps.sparkSession)
+    release(sizes.sparkSession)
     texts = stored(texts.join(ids, "doc_id"), "join-texts")
-    release(reps.sparkSession)
+    discard(ids)
+    release(sizes.sparkSession)
 
-    stars = stored(_stars(members), "join-stars")
+    stars = _stars(members)
     pairs = stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).union(extra).distinct()
-    pairs = stored(_sized(pairs, reps, num, den), "join-pairs")
+    pairs = stored(_sized(pairs, sizes, num, den), "join-pairs")
+    discard(stars, extra)
     linked = stored(verified(pairs, texts, words, num, den), "join-links")
-    release(reps.sparkSession)
+    discard(pairs)
+    release(sizes.sparkSession)
     comps = components(linked)
-    rest = stored(_unsettled(members, comps), "join-still").join(reps.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
+    still = _unsettled(members, comps)
+    discard(members)
+    rest = still.join(sizes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id")
     rest = texts.join(rest.join(comps, "doc_id", "left"), "doc_id")
     rest = rest.select("doc_id", "text", "n", F.coalesce("comp", "doc_id").alias("comp"))
     rest = stored(rest, "join-rest")
-    release(reps.sparkSession)
-    more = stored(verified(_remaining(rest, words, num, den), texts, words, num, den), "join-more")
-    return comps if more.isEmpty() else components(linked.union(more))
+    discard(still, texts)
+    release(sizes.sparkSession)
+    pairs = _remaining(rest, words, num, den)
+    more = stored(verified(pairs, rest, words, num, den), "join-more")
+    if not more.isEmpty():
+        comps = components(linked.union(more))
+    discard(pairs, rest, linked, more)
+    return comps
 
 
 def report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -341,13 +373,15 @@ def report(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Da
     texts = _noded(docs).join(least, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
     texts = texts.select(F.col("node").alias("doc_id"), "text")
     reps = stored(described(texts, words, num, den), "join-distinct")  # read several times
+    sizes = stored(reps.select("doc_id", "n_shingles"), "join-sizes")
     release(docs.sparkSession)
-    comps = links(reps.filter("n_shingles > 0"), texts, words, num, den)
+    comps = links(reps, sizes, texts, words, num, den)
     placed = least.join(comps.withColumnsRenamed({"doc_id": "node"}), "node", "left")
     placed = placed.withColumn("comp", F.coalesce("comp", "node"))
     names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("name")), "join-names")
     told = placed.join(names, "comp").select("node", "name")
-    told = stored(told.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node"), "join-told")
+    told = stored(told.join(sizes.withColumnRenamed("doc_id", "node"), "node"), "join-told")
+    discard(least, sizes, names)
     found = rows.join(told, "node", "left")
     if not rows.filter("doc_id IS NULL").isEmpty():
         found = _nameless(found, docs, words)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 
-from spectrafold.llm import decontaminate, graphs, ngram_join, substrings
+from spectrafold.llm import decontaminate, frames, graphs, ngram_join, substrings
 from spectrafold.llm.frames import prepare
 from tests.llm import brute, data
 
@@ -68,6 +69,25 @@ def test_allocation_leaves_room():
             assert (m == 0) == (most == 0) and (m == 0 or m > most)
 
 
+def test_index_goes_when_it_is_read(docs, rows, tmp_path, monkeypatch):
+    """Keys, texts and prefixes are not kept beside the next step's, nor after the last."""
+    there = {}
+
+    def folder(_spark, name):
+        there[name] = {p.name.rpartition(".")[0] for p in tmp_path.iterdir()}
+        return str(tmp_path / f"{name}.{uuid.uuid4().hex}")
+
+    monkeypatch.setattr(frames, "shared_folder", folder)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.report(docs).collect()}
+    assert got == brute.components(rows)
+    assert "join-distinct" in there["join-members"] and "join-distinct" not in there["join-texts"]
+    assert "join-texts" in there["join-links"]
+    assert there["rare-counts"].isdisjoint({"join-texts", "join-degrees", "join-placed", "join-stars"})
+    assert {p.name.rpartition(".")[0] for p in tmp_path.iterdir()} == {"join-nodes", "join-told", "links", "labels"}
+    with pytest.raises(KeyError):
+        frames.discard(docs)
+
+
 def test_distinct_documents(spark, rows):
     repeated = data.frame(spark, rows + rows[:5] + [(None, "nobody"), (None, rows[0][1])]).repartition(3)
     got = ngram_join.distinct_documents(repeated)
